@@ -1,0 +1 @@
+"""Snapshot diffs have no streaming operators; the package is kept so that the layout stays uniform."""
