@@ -133,18 +133,17 @@ class Parser:
         out = np.zeros((len(texts), len(self.model.langs)), np.int64)
         for k, table in enumerate(self.model.tables):
             flat, width = table.ravel(), table.shape[1]
-            state, phrases = np.zeros(len(text), np.int64), np.ones(len(text), np.int32)
+            state, phrases = np.zeros(len(text), np.int64), np.zeros(len(text), np.int32)
             for t in range(BLOCK):
                 m = int(live[t])
                 if m == 0:
                     break
                 c = codes[at[:m] + t].astype(np.int64)
                 to = flat[state[:m] * width + c]
-                miss = to == 0
-                if miss.any():
-                    again = flat[c[miss]]  # the phrase ends; the next one begins with this character
-                    to[miss] = again
-                    phrases[:m] += miss & (state[:m] != 0) if t == 0 else miss
+                begins = (to == 0) | (state[:m] == 0)  # no longer phrase goes on, or an unknown letter came before
+                again = np.flatnonzero(to == 0)
+                to[again] = flat[c[again]]
+                phrases[:m] += begins
                 state[:m] = to
             out[:, k] = np.bincount(text, weights=phrases, minlength=len(texts))
         return out, letters_, blocks

@@ -72,7 +72,7 @@ def when(share: Column, slope: Column) -> Column:
     """The time by which a share of a source's words is due: the inverse of `due`."""
     b = 1 - slope
     root = F.sqrt(b * b + 4 * slope * share)
-    return F.when(slope == 0, share).otherwise(2 * share / (b + root))
+    return F.when((slope == 0) | (share == 0), share).otherwise(2 * share / (b + root))
 
 
 def plan(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None) -> DataFrame:
