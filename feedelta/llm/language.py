@@ -29,7 +29,7 @@ from feedelta.llm.common import bounded_batches
 SAMPLE_DOCS, TRAIN_CHARS, LONGEST = 300, 40_000, 20_000
 BLOCK = 256
 #: Bits per letter beyond which no learned language explains a text (the pipeline rejects it).
-FOREIGN_BITS = 9.0
+FOREIGN_BITS = 11.0
 UND = "und"
 
 
