@@ -21,12 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from feedelta.llm.common import bounded_batches, without
+from feedelta.llm.common import bounded_batches, held_by_worker, without
 
 #: The last character of a word is moved up by this much, so "ends a word" is part of the alphabet.
 END = 0x1000
 #: Caches of a Python worker are emptied when they have as many entries.
-CHUNK_CACHE, WORD_CACHE, PAIR_CACHE = 500_000, 500_000, 2_000_000
+CHUNK_CACHE, WORD_CACHE, PAIR_CACHE = 250_000, 250_000, 1_000_000
 NEVER = 1 << 30
 #: Texts are encoded together until they have about as many characters.
 PART_BYTES = 4 << 20
@@ -326,16 +326,6 @@ def _little(x) -> bytes:
     return x
 
 
-_CODECS: dict[str, Codec] = {}
-
-
-def _codec(key: str, spec) -> Codec:
-    """One codec for each vocabulary and Python worker. spec is a broadcast whose size the vocabulary bounds."""
-    if key not in _CODECS:
-        _CODECS[key] = Codec(Bpe(json.loads(spec.value)))
-    return _CODECS[key]
-
-
 def _mapped(df: DataFrame, vocabulary: str, source: str, results: list[StructField], work) -> DataFrame:
     import pyarrow as pa
 
@@ -347,7 +337,7 @@ def _mapped(df: DataFrame, vocabulary: str, source: str, results: list[StructFie
     schema = StructType([*(df.schema[c] for c in kept), *results])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocabulary, spec)
+        codec = held_by_worker(("bpe", vocabulary), lambda: Codec(Bpe(json.loads(spec.value))))
         kinds = [pa.binary() if f.dataType == BinaryType() else pa.string() if f.dataType == StringType() else pa.int64() for f in results]
         for batch in batches:
             values, at = batch.column(source).to_pylist(), 0

@@ -40,8 +40,15 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+_HELD: dict = {}
+
+
+def held_by_worker(key, build):
+    """What a Python worker keeps from task to task: one operator's model and caches at a time, so memory doesn't add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

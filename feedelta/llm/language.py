@@ -18,13 +18,14 @@ gives an empty table.
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from feedelta.llm.common import bounded_batches
+from feedelta.llm.common import bounded_batches, held_by_worker, without
 
 SAMPLE_DOCS, TRAIN_CHARS, LONGEST = 300, 40_000, 20_000
 BLOCK = 256
@@ -175,9 +176,11 @@ def train(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
     rows = df.where(F.col(f"`{lang}`").isNotNull() & key.isNotNull() & ~held_out(key)).select(F.md5(key.cast("string")).alias("h"), key.cast("string").alias("id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
     frequency = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     short = rows.where(F.length("text").between(1, LONGEST))
-    # The limit by language works before the shuffle as well, so a common language costs no task more.
+    # The limit by language works before the shuffle as well, so a common language costs no task more; texts come after it.
     w = Window.partitionBy("lang").orderBy("h", "id")
-    picked = short.withColumn("at", F.row_number().over(w)).where(F.col("at") <= sample_docs).orderBy("lang", "at").collect()
+    few = short.select("lang", "h", "id").withColumn("at", F.row_number().over(w)).where(F.col("at") <= sample_docs).select("lang", "id").distinct()
+    picked = short.join(F.broadcast(few), ["lang", "id"])  # at most sample_docs rows for each language
+    picked = picked.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "text"))).where(F.col("at") <= sample_docs).orderBy("lang", "at").collect()
     samples: dict[str, str] = {}
     for r in picked:
         have = samples.get(r["lang"], "")
@@ -187,28 +190,20 @@ def train(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
     return Model(samples, frequency)
 
 
-_PARSERS: dict[int, Parser] = {}
-
-
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with lang_pred, score and bits (per letter, in the predicted language)."""
     import pyarrow as pa
 
-    from feedelta.llm.common import without
-
     spark = df.sparkSession
     bounded_batches(spark)
     sent = spark.sparkContext.broadcast(model)  # languages x TRAIN_CHARS bound its size
+    name = uuid.uuid4().hex
     df = without(df, "lang_pred", "score", "bits")
     schema = StructType(list(df.schema.fields)).add("lang_pred", "string").add("score", "double").add("bits", "double")
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = sent.id if hasattr(sent, "id") else id(sent)
-        if key not in _PARSERS:
-            _PARSERS.clear()
-            _PARSERS[key] = Parser(sent.value)
-        parser = _PARSERS[key]
+        parser = held_by_worker(name, lambda: Parser(sent.value))
         for b in batches:
             texts, at = b.column(text).to_pylist(), 0
             cols: tuple[list, list, list] = ([], [], [])

@@ -6,10 +6,10 @@ least DEPTH values form a region. A region with more than REGION classes is spli
 deeper, so the depth follows the density. Inside a region signatures are compared, and pairs that may be similar are
 handed on. A pair at the threshold meets in one order with chance 0.75 ** DEPTH, in none of 32 with chance 2e-8 (DEPTH 3).
 
-Candidates are confirmed on the full shingle sets (64-bit hashes), in three steps that spare needless pairs: the two
-likeliest partners of each class; then, between classes not yet connected, each one's likeliest partners in every other
-component; then all other pairs between components. What is skipped lies within one component already, so no component
-changes by it. Nothing is capped: copies of a text are one class, and the third step takes whatever is left.
+Candidates are confirmed on the full shingle sets (64-bit hashes), in two steps. First the two likeliest partners of
+each class, out of a spanning forest of likely pairs in each region. Then, in each region that still has several
+components, whole sets are compared for all likely pairs between them. Only links leave a region, fewer than it has
+classes; what is not compared lies within one component already, so no component changes by it. Nothing is capped.
 
 Contract: words are runs of other than the six ASCII white-space characters, A-Z in lower case; a document's set has its
 distinct 5-word shingles, or its whole word sequence if it has fewer words; documents are linked if 100 * intersection >=
@@ -18,7 +18,7 @@ component; rows that repeat an id are separate documents, kept if the id is the
 smallest unless all are null, and such rows are kept; extra columns are ignored by `near_duplicates` and kept by `dedup`;
 an empty table gives an empty table.
 
-Bounds: region work holds at most REGION sketches (128 bytes each) and their similarity matrix; the hash of word
+Bounds: region work holds at most REGION sketches (128 bytes each), their similarity matrix and sets; the hash of word
 sequences has 64 bits, so among 10**9 different texts two share it with chance 0.03.
 """
 
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedelta.llm.common import bounded_batches, cut
+from feedelta.llm.common import bounded_batches, cut, held_by_worker
 from feedelta.llm.components import components
 
 WORDS = 5
@@ -65,7 +65,7 @@ class Hasher:
         np, known = self.np, self.known
         if not words:
             return np.zeros(0, np.uint64)
-        if len(known) > 500_000:
+        if len(known) > 250_000:
             known.clear()
         for w in words:
             if w not in known:
@@ -99,13 +99,8 @@ def sequence_hash(words: list[bytes]) -> int:
     return v - 2**64 if v >= 2**63 else v
 
 
-_HASHER: list[Hasher] = []
-
-
 def _hasher() -> Hasher:
-    if not _HASHER:
-        _HASHER.append(Hasher())
-    return _HASHER[0]
+    return held_by_worker("shingles", Hasher)
 
 
 def signatures(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -248,65 +243,115 @@ def _forest(e, least: int) -> list[tuple[int, int]]:
     return out
 
 
-def _pairs(regions: DataFrame, mode: str) -> DataFrame:
-    """a, b, est for the pairs of each region that the step asks for. regions: region, node, root, sketch."""
+def _by_region(batches: Iterator, names: list[str]) -> Iterator[list]:
+    """The columns of one region after another, from rows in the order of regions. Numbers as arrays, binaries as lists."""
+    import numpy as np
 
-    def run(batches: Iterator) -> Iterator:
+    held: list = []
+    for b in batches:
+        cols = [c.to_pylist() if str(c.type) == "binary" else c.to_numpy() for c in (b.column(n) for n in names)]
+        if held:
+            cols = [x + y if isinstance(x, list) else np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
+        starts = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]])).tolist()
+        for lo, hi in zip(starts, starts[1:], strict=False):
+            yield [c[lo:hi] for c in cols]
+        held = [c[starts[-1] :] for c in cols]
+    if held:
+        yield held
+
+
+def _in_batches(parts: Iterator[list], names: list[str]) -> Iterator:
+    """Record batches of about 100,000 rows from lists of columns."""
+    import numpy as np
+    import pyarrow as pa
+
+    held, size = [], 0
+    for p in parts:
+        held.append(p)
+        size += len(p[0])
+        if size > 100_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+
+
+def _sketches(raw: list[bytes]):
+    import numpy as np
+
+    return np.frombuffer(b"".join(raw), np.uint8).reshape(-1, HASHES)
+
+
+def _least() -> int:
+    return -int(-LIKELY * HASHES // 1)
+
+
+def _likely_pairs(regions: DataFrame) -> DataFrame:
+    """a, b, est: of each region a spanning forest of its likely pairs, so fewer pairs than classes."""
+
+    def found(batches: Iterator) -> Iterator[list]:
         import numpy as np
-        import pyarrow as pa
 
-        least = int(np.ceil(LIKELY * HASHES))
-
-        def of(nodes, roots, sketch):
-            if len(nodes) < 2 or (roots == roots[0]).all():
-                return [], [], []
-            e = _agreement(sketch)
-            if mode == "forest":
-                found = _forest(e, least)
-                i, j = (np.array(x, int) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 2
-            else:
-                e[roots[:, None] == roots[None, :]] = 0
-                i, j = np.nonzero(e >= least)
-                if mode == "best" and len(i):
-                    # Of each class and other component, the two likeliest partners.
-                    order = np.lexsort((j, -e[i, j].astype(int), roots[j], i))
-                    i, j = i[order], j[order]
-                    new = np.ones(len(i), bool)
-                    new[1:] = (i[1:] != i[:-1]) | (roots[j[1:]] != roots[j[:-1]])
-                    start = np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
-                    keep = np.arange(len(i)) - start < 2
-                    i, j = i[keep], j[keep]
-                else:
-                    i, j = i[nodes[i] < nodes[j]], j[nodes[i] < nodes[j]]
-            a, b = np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])
-            return a, b, e[i, j].astype(np.int32)
-
-        def made(parts: list):
-            cols = [np.concatenate([np.asarray(p[k], (np.int64, np.int64, np.int32)[k]) for p in parts]) for k in range(3)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "est"])
+        for _, nodes, raw in _by_region(batches, ["region", "node", "sketch"]):
+            e = _agreement(_sketches(raw))
+            edges = _forest(e, _least())
+            if edges:
+                i, j = (np.array(x) for x in zip(*edges, strict=True))
+                yield [np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j]), e[i, j].astype(np.int32)]
+
+    ordered = _together(regions).select("region", "node", "sketch")
+    return ordered.mapInArrow(lambda batches: _in_batches(found(batches), ["a", "b", "est"]), "a bigint, b bigint, est int").distinct()
 
-        held: list = []
-        for b in batches:
-            cols = [b.column("region").to_numpy(), b.column("node").to_numpy(), b.column("root").to_numpy(), np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)]
-            if held:
-                cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
-            starts = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]])).tolist()
-            parts, size = [], 0
-            for lo, hi in zip(starts, starts[1:], strict=False):
-                parts.append(of(*(c[lo:hi] for c in cols[1:])))
-                size += len(parts[-1][0])
-                if size > 200_000:
-                    yield made(parts)
-                    parts, size = [], 0
-            if parts:
-                yield made(parts)
-            held = [c[starts[-1] :] for c in cols]
-        if held:
-            yield made([of(*held[1:])])
 
+def _together(regions: DataFrame) -> DataFrame:
     parts = max(2, int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = regions.repartition(parts, "region").sortWithinPartitions("region", "node").select("region", "node", "root", "sketch")
-    return ordered.mapInArrow(run, "a bigint, b bigint, est int").distinct()
+    return regions.repartition(parts, "region").sortWithinPartitions("region", "node")
+
+
+def _rest(regions: DataFrame) -> DataFrame:
+    """a, b: links between the components of each region, found by comparing whole sets of all likely pairs.
+
+    regions: region, node, root, sketch, set. Once two components are linked, pairs between them are not needed any
+    more, so a region gives fewer links than it has components.
+    """
+
+    def found(batches: Iterator) -> Iterator[list]:
+        import numpy as np
+
+        for _, nodes, roots, raw, sets in _by_region(batches, ["region", "node", "root", "sketch", "set"]):
+            if (roots == roots[0]).all():
+                continue
+            likely = _agreement(_sketches(raw)) >= _least()
+            group = np.unique(roots, return_inverse=True)[1]
+            likely &= group[:, None] != group[None, :]
+            live = np.flatnonzero(likely.any(axis=1))
+            if not len(live):
+                continue
+            size = np.array([len(x) // 8 for x in sets])
+            ids = np.unique(np.frombuffer(b"".join(sets[i] for i in live), np.uint64), return_inverse=True)[1]
+            ends = np.cumsum(size[live])
+            own = dict(zip(live.tolist(), np.split(ids, ends[:-1]), strict=True))
+            mark = np.zeros(int(ids.max()) + 1, np.int32)
+            a, b = [], []
+            for i in live.tolist():
+                js = np.flatnonzero(likely[i, i + 1 :] & (group[i + 1 :] != group[i])) + i + 1
+                if not len(js):
+                    continue
+                mark[own[i]] = 1
+                parts = [own[j] for j in js.tolist()]
+                both = np.add.reduceat(mark[np.concatenate(parts)], np.concatenate([[0], np.cumsum(size[js])[:-1]]))
+                mark[own[i]] = 0
+                for j in js[100 * both >= PERCENT * (size[i] + size[js] - both)].tolist():
+                    if group[i] != group[j]:
+                        a.append(nodes[i])
+                        b.append(nodes[j])
+                        group[group == group[j]] = group[i]
+            if a:
+                a, b = np.array(a), np.array(b)
+                yield [np.minimum(a, b), np.maximum(a, b)]
+
+    ordered = _together(regions).select("region", "node", "root", "sketch", "set")
+    return ordered.mapInArrow(lambda batches: _in_batches(found(batches), ["a", "b"]), "a bigint, b bigint").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -364,29 +409,18 @@ def _grouped(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFram
     classes = cut(classes, "classes")
     regions = cut(_regions(_labels(classes), REGION), "regions")
     sketch = _low_bytes(classes)
-    roots = tested = links = sets = involved = None
-    for mode in ("forest", "best", "all"):
-        if roots is None:
-            placed = regions.join(sketch, "node").withColumn("root", F.col("node"))
-        else:
-            rooted = regions.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            mixed = rooted.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
-            placed = rooted.join(mixed, "region", "left_semi").join(involved, "node", "left_semi").join(sketch, "node")
-        pairs = _pairs(placed, mode)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        if mode == "forest":
-            involved = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "involved")
-            wanted = cut(involved.join(classes.select("node", F.coalesce("first", F.lit(-1)).alias("stands")), "node"), "wanted")
-            sets = cut(_sets(df, id_col, text, wanted), "sets")
-            pairs = _likeliest(pairs, 2)
-        now = cut(_confirmed(pairs.select("a", "b"), sets), "links")
-        tried = pairs.select("a", "b")
-        tested = tried if tested is None else tested.unionAll(tried)
-        links = now if links is None else links.unionAll(now)
-        if mode == "forest" or not now.isEmpty():
-            roots = cut(components(links), "roots")
+    pairs = cut(_likely_pairs(regions.join(sketch, "node")), "pairs")
+    # Every class with a likely partner is in some pair; the others have no part in what follows.
+    involved = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "involved")
+    wanted = cut(involved.join(classes.select("node", F.coalesce("first", F.lit(-1)).alias("stands")), "node"), "wanted")
+    sets = cut(_sets(df, id_col, text, wanted), "sets")
+    links = cut(_confirmed(_likeliest(pairs, 2), sets), "links")
+    roots = cut(components(links), "roots")
+    rooted = regions.join(involved, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
+    open_ = cut(rooted.join(mixed, "region", "left_semi"), "open")
+    more = cut(_rest(open_.join(sketch, "node").join(sets, "node")), "links")
+    roots = cut(components(links.unionAll(more)), "roots")
     rooted = classes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
     firsts = rooted.groupBy("root").agg(F.min("first").alias("component"))
     return docs.select("doc_id", "node", "n_shingles"), rooted.join(firsts, "root").select("node", "component")
