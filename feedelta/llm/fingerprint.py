@@ -112,12 +112,39 @@ def edited_pairs(df: DataFrame, id_col: str = "doc_id", text: str = "text", wide
     sent, n = _with_next(df, id_col, text)
     if n == 0:
         return spark.createDataFrame([], RESULT)
-    done = cut(sent.mapInArrow(_pairs(wide), RESULT + ", form binary, clash boolean"), "edited")
-    if done.where("clash").limit(1).count() or _collided(done, "fingerprint", "form"):
+    done = cut(sent.mapInArrow(_pairs(wide), RESULT + ", clash boolean"), "edited")
+    if done.where("clash").limit(1).count() or _collided(_forms_of_equal(df, id_col, text, done, wide), "fingerprint", "form"):
         if wide:
             raise RuntimeError("SHA-256 digests of unlike texts are equal")
         return edited_pairs(df, id_col, text, wide=True)
-    return done.drop("form", "clash")
+    return done.drop("clash")
+
+
+def _forms_of_equal(df: DataFrame, id_col: str, text: str, done: DataFrame, wide: bool) -> DataFrame:
+    """fingerprint, form of the documents whose digest another row has too; the texts of others are not read into a shuffle."""
+    import pyarrow as pa
+
+    twice = done.groupBy("fingerprint").count().where("count > 1").select("fingerprint")
+    members = cut(done.join(twice, "fingerprint", "left_semi").select(F.col("doc_id").alias("member")).distinct(), "members")
+    # Broadcast only up to a fixed number of ids; beyond it both sides are shuffled.
+    side = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
+    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    some = rows.join(side, rows["doc_id"].eqNullSafe(F.col("member")), "left_semi").select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            forms = [canonical(t).encode() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_hash(wide)(f) for f in forms], pa.string()), pa.array(list(map(_pack, forms)), pa.binary())], names=["fingerprint", "form"])
+
+    return some.mapInArrow(run, "fingerprint string, form binary")
+
+
+#: Ids of documents with equal digests that may be broadcast (8 bytes each).
+BROADCAST_IDS = 2_000_000
+
+
+def _hash(wide: bool):
+    return (lambda form: hashlib.sha256(form).hexdigest()) if wide else digest
 
 
 def _with_next(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, int]:
@@ -151,9 +178,9 @@ def _with_next(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, int]:
 def _pairs(wide: bool):
     import pyarrow as pa
 
-    hashed = (lambda form: hashlib.sha256(form).hexdigest()) if wide else digest
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.binary(), pa.bool_()]
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "form", "clash"]
+    hashed = _hash(wide)
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.bool_()]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "clash"]
 
     def row(doc_id: int | None, t: str, following: str) -> tuple:
         changed = edited(t, following)
@@ -161,7 +188,7 @@ def _pairs(wide: bool):
         own, of_changed, of_next = map(hashed, forms)
         near = [f == forms[0] for f in forms]
         clash = (own == of_changed) != near[1] or (own == of_next) != near[2]
-        return doc_id, len(t), hashlib.sha256(changed.encode()).hexdigest(), own, of_changed, float(near[1]), float(near[2]), _pack(forms[0]), clash
+        return doc_id, len(t), hashlib.sha256(changed.encode()).hexdigest(), own, of_changed, float(near[1]), float(near[2]), clash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the document whose successor is still to come
