@@ -21,15 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from feedelta.llm.common import bounded_batches, held_by_worker, without
+from feedelta.llm.common import bounded_batches, held_by_worker, release_memory, releasing, without
 
 #: The last character of a word is moved up by this much, so "ends a word" is part of the alphabet.
 END = 0x1000
-#: Caches of a Python worker are emptied when they have as many entries.
-CHUNK_CACHE, WORD_CACHE, PAIR_CACHE = 250_000, 250_000, 1_000_000
+#: Entries of a generation of a Python worker's caches; the cache of pairs is emptied when it has as many.
+CHUNK_CACHE, WORD_CACHE, PAIR_CACHE = 75_000, 75_000, 250_000
 NEVER = 1 << 30
-#: Texts are encoded together until they have about as many characters.
-PART_BYTES = 4 << 20
+#: Texts are encoded together until they have about as many bytes.
+PART_BYTES = 1 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -232,6 +232,22 @@ class Bpe:
             yield out
 
 
+class Recent:
+    """A cache of two generations: a full one becomes the old one, and what is asked for again moves up from it."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.old = most, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """Those of the keys that are not held; all others are in `now` afterwards."""
+        lack = keys - self.now.keys()
+        if self.now and len(self.now) + len(lack) > self.most:
+            self.old, self.now, lack = self.now, {}, keys
+            release_memory()
+        self.now.update((k, self.old[k]) for k in lack if k in self.old)
+        return lack - self.old.keys()
+
+
 class Codec:
     """Texts to ids and back, with caches of white-space-free chunks, words and token pairs."""
 
@@ -241,7 +257,7 @@ class Codec:
     def __init__(self, bpe: Bpe):
         import regex
 
-        self.bpe, self.chunks, self.known, self.pairs = bpe, {}, {}, {}
+        self.bpe, self.chunks, self.known, self.pairs = bpe, Recent(CHUNK_CACHE), Recent(WORD_CACHE), {}
         self.other = regex.compile(self._OTHER)
         # Fixed value: the pattern by which the vocabulary's file splits texts.
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -280,28 +296,23 @@ class Codec:
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self._chunks(t) if t else [] for t in texts]
-        have = self.chunks
-        new = {c for chunks in cut for c in chunks if c not in have}
-        if len(have) + len(new) > CHUNK_CACHE and have:
-            have.clear()
-            new = {c for chunks in cut for c in chunks}
+        new = self.chunks.missing({c for chunks in cut for c in chunks})
         if new:
             self._learn(new)
+        have = self.chunks.now
         return [b"".join([have[c] for c in chunks]) for chunks in cut]
 
     def _learn(self, chunks: set[str]) -> None:
         special = self.bpe.special
         pieces = {c: self.pieces(c) for c in chunks if c not in special}
-        if len(self.known) > WORD_CACHE:
-            self.known.clear()
-        known = self.known
-        spelled = sorted((self._spelled(w), w) for w in {w for ws in pieces.values() for w in ws if w not in known})
+        spelled = sorted((self._spelled(w), w) for w in self.known.missing({w for ws in pieces.values() for w in ws}))
+        known, have = self.known.now, self.chunks.now
         for (_, w), ids in zip(spelled, self.bpe.words([s for s, _ in spelled], self.pairs), strict=True):
             known[w] = _little(array("I", ids))
         for c, ws in pieces.items():
-            self.chunks[c] = b"".join([known[w] for w in ws])
+            have[c] = b"".join([known[w] for w in ws])
         for c in chunks & special.keys():
-            self.chunks[c] = _little(array("I", [special[c]]))
+            have[c] = _little(array("I", [special[c]]))
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
@@ -328,6 +339,7 @@ def _little(x) -> bytes:
 
 def _mapped(df: DataFrame, vocabulary: str, source: str, results: list[StructField], work) -> DataFrame:
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     spark = df.sparkSession
     bounded_batches(spark)
@@ -340,17 +352,17 @@ def _mapped(df: DataFrame, vocabulary: str, source: str, results: list[StructFie
         codec = held_by_worker(("bpe", vocabulary), lambda: Codec(Bpe(json.loads(spec.value))))
         kinds = [pa.binary() if f.dataType == BinaryType() else pa.string() if f.dataType == StringType() else pa.int64() for f in results]
         for batch in batches:
-            values, at = batch.column(source).to_pylist(), 0
-            while at < len(values):
+            sizes, at = pc.fill_null(pc.binary_length(batch.column(source)), 0).to_pylist(), 0
+            while at < len(sizes):
                 start, held = at, 0
-                while at < len(values) and held < PART_BYTES:
-                    held += len(values[at] or "")
+                while at < len(sizes) and held < PART_BYTES:
+                    held += sizes[at]
                     at += 1
-                rows = work(codec, values[start:at])
                 part = batch.slice(start, at - start)
+                rows = work(codec, part.column(source).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda batches: releasing(run(batches)), schema)
 
 
 def _encoded(codec: Codec, texts: list[str | None]) -> tuple[list[int], list[bytes]]:

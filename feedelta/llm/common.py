@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +53,24 @@ def held_by_worker(key, build):
     return _HELD[key]
 
 
+def release_memory() -> None:
+    """Gives memory that a worker has freed back to the system, where the C library can; otherwise the worker stays at its peak."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def releasing(batches: Iterator) -> Iterator:
+    """The same batches; after the last one, freed memory is given back."""
+    try:
+        yield from batches
+    finally:
+        release_memory()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that no column of df has, whatever the case."""
     taken = {c.lower() for c in df.columns}
