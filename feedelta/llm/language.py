@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from feedelta.llm.common import bounded_batches, held_by_worker, without
+from feedelta.llm.common import bounded_batches, held_by_worker, releasing, without
 
 SAMPLE_DOCS, TRAIN_CHARS, LONGEST = 300, 40_000, 20_000
 BLOCK = 256
@@ -216,7 +216,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     c += v
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda batches: releasing(run(batches)), schema)
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

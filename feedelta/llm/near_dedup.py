@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedelta.llm.common import bounded_batches, cut, held_by_worker
+from feedelta.llm.common import bounded_batches, cut, held_by_worker, releasing
 from feedelta.llm.components import components
 
 WORDS = 5
@@ -121,7 +121,7 @@ def signatures(df: DataFrame, id_col: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "node", "n_shingles", "sig"])
 
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, node bigint, n_shingles bigint, sig binary")
+    return rows.mapInArrow(lambda batches: releasing(run(batches)), "doc_id bigint, node bigint, n_shingles bigint, sig binary")
 
 
 def _labels(classes: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def _labels(classes: DataFrame) -> DataFrame:
                 label = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * LABEL), len(nodes), [None, pa.py_buffer(raw)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), o, np.int32)), label, pa.array(nodes)], names=["o", "label", "node"])
 
-    return classes.select("node", "sig").mapInArrow(run, "o int, label binary, node bigint")
+    return classes.select("node", "sig").mapInArrow(lambda batches: releasing(run(batches)), "o int, label binary, node bigint")
 
 
 def _split(common, lo: int, hi: int, depth: int, most: int) -> list[tuple[int, int]]:
@@ -210,7 +210,7 @@ def _regions(labels: DataFrame, most: int) -> DataFrame:
 
     parts = max(2, int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = labels.repartitionByRange(parts, "o", "label").sortWithinPartitions("o", "label", "node")
-    return ordered.mapInArrow(run, "region bigint, node bigint")
+    return ordered.mapInArrow(lambda batches: releasing(run(batches)), "region bigint, node bigint")
 
 
 def _agreement(sketch):
@@ -371,7 +371,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "sa", "sb").mapInArrow(lambda batches: releasing(run(batches)), "a bigint, b bigint")
 
 
 def _sets(df: DataFrame, id_col: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -387,7 +387,7 @@ def _sets(df: DataFrame, id_col: str, text: str, wanted: DataFrame) -> DataFrame
 
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     some = rows.join(wanted, F.coalesce(rows["doc_id"], F.lit(-1)) == wanted["stands"], "left_semi")
-    made = some.select("text").mapInArrow(run, "node bigint, set binary")
+    made = some.select("text").mapInArrow(lambda batches: releasing(run(batches)), "node bigint, set binary")
     # Rows may share an id; only the wanted classes stay, each once.
     return made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
@@ -437,7 +437,7 @@ def _low_bytes(classes: DataFrame) -> DataFrame:
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([r.tobytes() for r in sig], pa.binary())], names=["node", "sketch"])
 
-    return cut(classes.select("node", "sig").mapInArrow(run, "node bigint, sketch binary"), "sketches")
+    return cut(classes.select("node", "sig").mapInArrow(lambda batches: releasing(run(batches)), "node bigint, sketch binary"), "sketches")
 
 
 def _likeliest(pairs: DataFrame, k: int) -> DataFrame:
