@@ -26,6 +26,18 @@ def test_ids_and_decoding_are_the_librarys():
         assert codec.decode(ids) == lib.decode(e.ids, skip_special_tokens=False)
 
 
+def test_full_caches_change_no_ids():
+    b, lib = bpe.Bpe.load(vocabulary_path()), library()
+    small = bpe.Codec(b)
+    small.chunks, small.known = bpe.Recent(7), bpe.Recent(3)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh,'1") for _ in range(rng.randrange(1, 6))) for _ in range(40)] + ["<|endoftext|>"]
+    for _ in range(60):
+        texts = [" ".join(rng.choices(words, k=rng.randrange(0, 12))) for _ in range(rng.randrange(1, 4))]
+        for ids, e in zip(small.encode_all(texts), lib.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == e.ids
+
+
 def test_pair_test_is_what_merging_says():
     b = bpe.Bpe.load(vocabulary_path())
     rng, names = random.Random(2), {i: t for t, i in b.whole.items()}
