@@ -36,8 +36,8 @@ WORDS = 5
 HASHES, ORDERS, DEPTH, LABEL = 128, 32, 3, 16
 #: Most classes of a region; beyond, prefixes are taken longer.
 REGION = 1024
-#: Signature agreement from which a pair is confirmed: 0.75 less 2.6 standard deviations of the estimate.
-LIKELY = 0.65
+#: Signature agreement from which a pair is confirmed: 0.75 less 3.9 standard deviations of the estimate.
+LIKELY = 0.6
 PERCENT = 75
 
 
