@@ -9,7 +9,12 @@ handed on. A pair at the threshold meets in one order with chance 0.75 ** DEPTH,
 Candidates are confirmed on the full shingle sets (64-bit hashes), in two steps. First the two likeliest partners of
 each class, out of a spanning forest of likely pairs in each region. Then, in each region that still has several
 components, whole sets are compared for all likely pairs between them. Only links leave a region, fewer than it has
-classes; what is not compared lies within one component already, so no component changes by it. Nothing is capped.
+classes; what is not compared lies within one component already, so no component changes by it.
+
+Deeper prefixes part similar classes, and so do the borders of sorted partitions. All classes of such runs therefore take a
+second path, which is exact: shingles are ordered from rare to frequent, those of one component only before all others, and two similar sets have a shingle in common among
+the first |set| - ceil(75 % of |set|) + 1 of each. Whole sets are compared within the list of every such shingle whose
+classes are in several components; equal lists are compared once, long ones block by block. Nothing is capped.
 
 Contract: words are runs of other than the six ASCII white-space characters, A-Z in lower case; a document's set has its
 distinct 5-word shingles, or its whole word sequence if it has fewer words; documents are linked if 100 * intersection >=
@@ -18,7 +23,8 @@ component; rows that repeat an id are separate documents, kept if the id is the
 smallest unless all are null, and such rows are kept; extra columns are ignored by `near_duplicates` and kept by `dedup`;
 an empty table gives an empty table.
 
-Bounds: region work holds at most REGION sketches (128 bytes each), their similarity matrix and sets; the hash of word
+Bounds: region work holds at most REGION sketches (128 bytes each), their similarity matrix and sets; a block of a list
+about half of that; the hash of word
 sequences has 64 bits, so among 10**9 different texts two share it with chance 0.03.
 """
 
@@ -34,7 +40,7 @@ from feedelta.llm.components import components
 
 WORDS = 5
 HASHES, ORDERS, DEPTH, LABEL = 128, 32, 3, 16
-#: Most classes of a region; beyond, prefixes are taken longer.
+#: Most classes of a region; beyond, prefixes are taken longer, and the classes are also compared by their rare shingles.
 REGION = 1024
 #: Signature agreement from which a pair is confirmed: 0.75 less 3.9 standard deviations of the estimate.
 LIKELY = 0.6
@@ -161,20 +167,24 @@ def _split(common, lo: int, hi: int, depth: int, most: int) -> list[tuple[int, i
 
 
 def _regions(labels: DataFrame, most: int) -> DataFrame:
-    """region, node for all regions of at least two classes, from the sorted orders."""
+    """region, node for all regions of at least two classes, from the sorted orders. Classes of runs that are cut, by depth
+    or by the border of a partition, come once more with a null region."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         import xxhash
 
-        def out(o, lab, nodes):
+        def out(o, lab, nodes, border):
+            # border: whether the first and the last run may go on elsewhere
             common = np.zeros(len(nodes), np.int64)
             same = (lab[1:] == lab[:-1]) & (o[1:] == o[:-1])[:, None]
             common[1:] = np.where(same.all(axis=1), LABEL, same.argmin(axis=1))
             starts = np.flatnonzero(common < DEPTH).tolist() + [len(nodes)]
-            ids, members = [], []
+            ids, members, parted = [], [], []
             for a, b in zip(starts, starts[1:], strict=False):
+                if b - a > most or (a == 0 and border[0]) or (b == len(nodes) and border[1]):
+                    parted.append(nodes[a:b])
                 if b - a < 2:
                     continue
                 for lo, hi in _split(common, a, b, DEPTH, most):
@@ -183,10 +193,13 @@ def _regions(labels: DataFrame, most: int) -> DataFrame:
                     ids.append(np.full(hi - lo, name, np.uint64).view(np.int64))
                     members.append(nodes[lo:hi])
             if ids:
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(members))], names=["region", "node"])
-            return None
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(members))], names=["region", "node"])
+            if parted:
+                some = np.unique(np.concatenate(parted))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(some)], names=["region", "node"])
 
         held: list = []
+        opens = True  # the first run may have begun in the partition before
         for b in batches:
             o = b.column("o").to_numpy()
             lab = np.frombuffer(b"".join(b.column("label").to_pylist()), ">u2").reshape(-1, LABEL)
@@ -202,11 +215,11 @@ def _regions(labels: DataFrame, most: int) -> DataFrame:
                     held = [o, lab, nodes]
                     continue
                 last = len(o) - 1
-            if (r := out(o[:last], lab[:last], nodes[:last])) is not None:
-                yield r
-            held = [x[last:] for x in (o, lab, nodes)]
-        if held and (r := out(*held)) is not None:
-            yield r
+            goes_on = last > 0 and o[last - 1] == o[last] and bool((lab[last - 1, :DEPTH] == lab[last, :DEPTH]).all())
+            yield from out(o[:last], lab[:last], nodes[:last], (opens, goes_on))
+            held, opens = [x[last:] for x in (o, lab, nodes)], goes_on
+        if held:
+            yield from out(*held, (opens, True))
 
     parts = max(2, int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = labels.repartitionByRange(parts, "o", "label").sortWithinPartitions("o", "label", "node")
@@ -308,26 +321,28 @@ def _together(regions: DataFrame) -> DataFrame:
     return regions.repartition(parts, "region").sortWithinPartitions("region", "node")
 
 
-def _rest(regions: DataFrame) -> DataFrame:
-    """a, b: links between the components of each region, found by comparing whole sets of all likely pairs.
+def _rest(regions: DataFrame, whole: bool = False) -> DataFrame:
+    """a, b: links between the components of each region, found by comparing whole sets of all likely pairs, or, if `whole`,
+    of all pairs whose sizes allow it.
 
-    regions: region, node, root, sketch, set. Once two components are linked, pairs between them are not needed any
-    more, so a region gives fewer links than it has components.
+    regions: region, node, root, sketch (not if `whole`), set. Once two components are linked, pairs between them are not
+    needed any more, so a region gives fewer links than it has components.
     """
+    names = ["region", "node", "root", *([] if whole else ["sketch"]), "set"]
 
     def found(batches: Iterator) -> Iterator[list]:
         import numpy as np
 
-        for _, nodes, roots, raw, sets in _by_region(batches, ["region", "node", "root", "sketch", "set"]):
+        for _, nodes, roots, *raw, sets in _by_region(batches, names):
             if (roots == roots[0]).all():
                 continue
-            likely = _agreement(_sketches(raw)) >= _least()
+            size = np.array([len(x) // 8 for x in sets])
+            likely = 100 * np.minimum.outer(size, size) >= PERCENT * np.maximum.outer(size, size) if whole else _agreement(_sketches(raw[0])) >= _least()
             group = np.unique(roots, return_inverse=True)[1]
             likely &= group[:, None] != group[None, :]
             live = np.flatnonzero(likely.any(axis=1))
             if not len(live):
                 continue
-            size = np.array([len(x) // 8 for x in sets])
             ids = np.unique(np.frombuffer(b"".join(sets[i] for i in live), np.uint64), return_inverse=True)[1]
             ends = np.cumsum(size[live])
             own = dict(zip(live.tolist(), np.split(ids, ends[:-1]), strict=True))
@@ -350,10 +365,71 @@ def _rest(regions: DataFrame) -> DataFrame:
                 a, b = np.array(a), np.array(b)
                 yield [np.minimum(a, b), np.maximum(a, b)]
 
-    ordered = _together(regions).select("region", "node", "root", "sketch", "set")
+    ordered = _together(regions).select(*names)
     return ordered.mapInArrow(lambda batches: _in_batches(found(batches), ["a", "b"]), "a bigint, b bigint").distinct()
 
 
+def _shingle_rows(sets: DataFrame) -> DataFrame:
+    """node, root, size, shingle: a row for each shingle of a set."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            nodes, roots, raw, at = b.column("node").to_numpy(), b.column("root").to_numpy(), b.column("set").to_pylist(), 0
+            while at < len(raw):
+                start, held = at, 0
+                while at < len(raw) and held < 4_000_000:
+                    held += len(raw[at])
+                    at += 1
+                size = np.array([len(x) // 8 for x in raw[start:at]], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[start:at], size)), pa.array(np.repeat(roots[start:at], size)), pa.array(np.repeat(size, size)), pa.array(np.frombuffer(b"".join(raw[start:at]), np.int64))], names=["node", "root", "size", "shingle"])
+
+    return sets.select("node", "root", "set").mapInArrow(lambda batches: releasing(run(batches)), "node bigint, root bigint, size bigint, shingle bigint")
+
+
+def _rare_lists(sets: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+    """region, node, root: classes that have one of their rarest shingles in common, where these are in several components.
+
+    Any two sets that are similar enough and in different components are together in some region. A list of more than
+    `most` classes is dealt to cells of about most / 4, and every two cells make a region; cells of one and the same
+    component are not paired, so a large group costs only the outsiders in its lists.
+    """
+    rooted = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = cut(_shingle_rows(rooted), "shingles")
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle", "often")
+    shared = rows.join(often, "shingle")
+    # Shingles of one component only come first in the order and link nothing: only their number counts.
+    by_node = Window.partitionBy("node")
+    shared = shared.withColumns({"at": F.row_number().over(by_node.orderBy("often", "shingle")), "shared": F.count(F.lit(1)).over(by_node)})
+    least = F.floor((F.col("size") * PERCENT + 99) / 100)
+    first = shared.where(F.col("at") + F.col("size") - F.col("shared") <= F.col("size") - least + 1)
+    first = cut(first.select("shingle", "node", "root"), "firsts")
+    total = lambda seed: F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(38,0)"))
+    lists = first.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), total(1).alias("t1"), total(2).alias("t2")).where("lo <> hi")
+    # Equal lists have equal sums of hashes.
+    lists = cut(lists.groupBy("n", "t1", "t2").agg(F.min("shingle").alias("shingle")).select("shingle", "n"), "lists")
+    listed = cut(first.join(lists, "shingle"), "listed")
+    small = listed.where(F.col("n") <= most).select(F.xxhash64("shingle", F.lit(-1), F.lit(-1)).alias("region"), "node", "root")
+    long = listed.where(F.col("n") > most)
+    if long.isEmpty():
+        return small
+    cell = max(1, most // 4)
+    part = lambda c, n: F.pmod(F.xxhash64(c, F.lit(5)), F.ceil(F.col(n) / cell))
+    large = long.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > cell)
+    long = long.join(large, ["shingle", "root"], "left")
+    # A cell of a large component's own has its root; the others are mixed.
+    own = F.col("m").isNotNull()
+    long = cut(long.select("shingle", "node", "root", F.when(own, F.col("root")).alias("only"), F.when(own, F.xxhash64("root", part("node", "m"))).otherwise(part("node", "n")).alias("cell")), "cells")
+    cells = long.select("shingle", "cell", "only").distinct()
+    other = cells.select(F.col("shingle").alias("s2"), F.col("cell").alias("c2"), F.col("only").alias("o2"))
+    paired = cells.join(other, (F.col("shingle") == F.col("s2")) & (F.col("cell") <= F.col("c2")) & ~F.coalesce(F.col("only") == F.col("o2"), F.lit(False)))
+    paired = cut(paired.select("shingle", "cell", "c2", F.xxhash64("shingle", "cell", "c2").alias("region")), "paired")
+    both = paired.select("shingle", "cell", "region").unionAll(paired.where("cell <> c2").select("shingle", F.col("c2").alias("cell"), "region"))
+    return small.unionAll(both.join(long, ["shingle", "cell"]).select("region", "node", "root"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b of the pairs whose sets are similar enough."""
 
@@ -408,11 +484,13 @@ def _grouped(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFram
     classes = docs.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.first("sig").alias("sig"))
     classes = cut(classes, "classes")
     regions = cut(_regions(_labels(classes), REGION), "regions")
+    parted = cut(regions.where("region IS NULL").select("node").distinct(), "parted")
+    regions = regions.where("region IS NOT NULL")
     sketch = _low_bytes(classes)
     pairs = cut(_likely_pairs(regions.join(sketch, "node")), "pairs")
-    # Every class with a likely partner is in some pair; the others have no part in what follows.
+    # Every class with a likely partner is in some pair; of the others, only those of cut runs have a part in what follows.
     involved = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "involved")
-    wanted = cut(involved.join(classes.select("node", F.coalesce("first", F.lit(-1)).alias("stands")), "node"), "wanted")
+    wanted = cut(involved.unionAll(parted).distinct().join(classes.select("node", F.coalesce("first", F.lit(-1)).alias("stands")), "node"), "wanted")
     sets = cut(_sets(df, id_col, text, wanted), "sets")
     links = cut(_confirmed(_likeliest(pairs, 2), sets), "links")
     roots = cut(components(links), "roots")
@@ -420,7 +498,9 @@ def _grouped(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFram
     mixed = rooted.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
     open_ = cut(rooted.join(mixed, "region", "left_semi"), "open")
     more = cut(_rest(open_.join(sketch, "node").join(sets, "node")), "links")
-    roots = cut(components(links.unionAll(more)), "roots")
+    lists = _rare_lists(sets.join(parted, "node", "left_semi"), roots, REGION)
+    exact = cut(_rest(lists.join(sets, "node"), whole=True), "links")
+    roots = cut(components(links.unionAll(more).unionAll(exact)), "roots")
     rooted = classes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
     firsts = rooted.groupBy("root").agg(F.min("first").alias("component"))
     return docs.select("doc_id", "node", "n_shingles"), rooted.join(firsts, "root").select("node", "component")

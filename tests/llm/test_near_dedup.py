@@ -74,3 +74,22 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, -5: -5, 200: -5}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def templates(seed, n=200, pairs=60):
+    """Documents that share most of a text and are alike just below the threshold; some have a partner just above it."""
+    rng = random.Random(seed)
+    own = lambda k: [f"o{rng.randrange(10**9)}" for _ in range(k)]
+    base = own(120)
+    rows = [(d, base + own(25)) for d in range(n)]
+    rows += [(1000 + p, rows[p][1][:-19] + own(19)) for p in range(pairs)]
+    return [(d, " ".join(w)) for d, w in rows]
+
+
+def test_crowded_regions_lose_no_links(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION", 8)
+    # Apart from that, groups that are dense at the threshold.
+    rows = templates(8) + [(10_000 + (d or 0), t) for d, t in corpus(8)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: got[d] for d in range(1000, 1060)} == {d: (141, d - 1000) for d in range(1000, 1060)}
+    assert got == brute(rows)
