@@ -10,9 +10,13 @@ each message is written as one line of canonical JSON (fixed key order, argument
 The result has a row for each message, not for each conversation, and places are offsets of ranges of turns plus ranks
 within, so one endless conversation is never gathered in one task.
 
-Schemas: rows (name, field, kind, required), kind one of string, number, integer, boolean, object, array. A call is valid
-if its tool is known, its arguments are an object, all required fields are there and all given fields are known and of
-their kind.
+Schemas: rows (name, field, kind, required), kind one of string, number, integer, boolean, object, array. Where none are
+given, each conversation has the tools that its own messages of role `system` declare as JSON objects,
+{"tools": [{"name": ..., "parameters": {"properties": {field: {"type": kind}}, "required": [...]}}]}, each tool alone or as
+the "function" of an object; of declarations of the same name the first counts, and a field without a type takes any kind,
+one with a list of types any of them. A call is valid if its tool is known, its arguments are an object, all required fields are there and all given fields are known and of
+their kind. In a conversation that declares no tools, and with none given, a call has `valid` null, as has the count
+n_valid of its message: arguments were not checked.
 
 Defined results: a text that is no JSON object is plain content; null text is null content; a call without an identifier
 or a name is invalid and cannot be linked; of calls with the same identifier in a conversation the first (by turn, then
@@ -31,6 +35,8 @@ from pyspark.sql import functions as F
 RANGE = 1024
 #: Calls are read as text first, so that arguments keep their own form.
 CALLS = "array<struct<id:string,name:string,arguments:string>>"
+SHAPE = "name:string,parameters:struct<properties:map<string,struct<type:string>>,required:array<string>>"
+TOOLS = f"array<struct<{SHAPE},function:struct<{SHAPE}>>>"
 SCHEMA = "name string, field string, kind string, required boolean"
 
 
@@ -78,33 +84,49 @@ def parsed(df: DataFrame) -> DataFrame:
     link = F.when(F.col("role") == "tool", F.try_variant_get("v", "$.tool_call_id", "string"))
     special = F.col("v").isNotNull() & ((F.coalesce(F.size(calls), F.lit(-1)) > 0) | link.isNotNull())
     content = F.when(special, F.try_variant_get("v", "$.content", "string")).otherwise(F.col("text"))
-    return rows.select("conv_id", "turn", "role", "text", F.xxhash64("conv_id", "turn", "role", "text").alias("row"), F.when(special, calls).alias("calls"), link.alias("call_id"), content.alias("content"))
+    tools = F.when(F.col("role") == "system", F.from_json(F.try_variant_get("v", "$.tools", "string"), TOOLS))
+    return rows.select("conv_id", "turn", "role", "text", F.xxhash64("conv_id", "turn", "role", "text").alias("row"), tools.alias("tools"), F.when(special, calls).alias("calls"), link.alias("call_id"), content.alias("content"))
 
 
-def checked_calls(messages: DataFrame, schemas: DataFrame) -> DataFrame:
+def declared_tools(messages: DataFrame) -> DataFrame:
+    """conv_id, name, kinds, needed: the tools that conversations declare, each by its first declaration."""
+    rows = messages.where(F.col("conv_id").isNotNull()).select("conv_id", F.col("turn").isNull().alias("z"), "turn", "row", F.posexplode("tools").alias("at", "t"))
+    shape = F.coalesce("t.function.parameters", "t.parameters")
+    kinds = F.transform_values(shape["properties"], lambda _, x: F.coalesce(x["type"], F.lit("any")))
+    rows = rows.select("conv_id", F.coalesce("t.function.name", "t.name").alias("name"), F.struct("z", "turn", "row", "at").alias("place"), F.coalesce(kinds, F.create_map().cast("map<string,string>")).alias("kinds"), F.coalesce(shape["required"], F.array().cast("array<string>")).alias("needed"))
+    first = rows.where(F.col("name").isNotNull()).groupBy("conv_id", "name").agg(F.min_by(F.struct("kinds", "needed"), "place").alias("c"))
+    return first.select("conv_id", "name", "c.kinds", "c.needed")
+
+
+def checked_calls(messages: DataFrame, schemas: DataFrame | None) -> DataFrame:
     """A row for each call: conv_id, turn, row, at, id, name, arguments (canonical), valid."""
     calls = messages.select("conv_id", "turn", "row", F.posexplode("calls").alias("at", "c")).select("conv_id", "turn", "row", "at", "c.id", "c.name", canonical_object(F.col("c.arguments")).alias("arguments"))
     # The registry of tools has a row for each tool: required fields and kinds as maps.
-    tools = schemas.groupBy("name").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", "kind")))).alias("kinds"),
-        F.array_compact(F.collect_list(F.when(F.col("required"), F.col("field")))).alias("needed"),
-    )
-    calls = calls.join(tools, "name", "left")
+    if schemas is None:
+        tools = declared_tools(messages)
+        calls = calls.join(tools, ["conv_id", "name"], "left").join(tools.select("conv_id").distinct().withColumn("listed", F.lit(True)), "conv_id", "left")
+    else:
+        tools = schemas.groupBy("name").agg(
+            F.map_from_entries(F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", "kind")))).alias("kinds"),
+            F.array_compact(F.collect_list(F.when(F.col("required"), F.col("field")))).alias("needed"),
+        )
+        calls = calls.join(tools, "name", "left").withColumn("listed", F.lit(True))
     given = F.map_entries(F.from_json("arguments", "map<string,variant>"))
 
     def fits(e: Column) -> Column:
         want, got = F.try_element_at(F.col("kinds"), e["key"]), _kind(e["value"])
-        return F.coalesce((want == got) | ((want == "number") & (got == "integer")), F.lit(False))
+        kinds = F.when(want.startswith("["), F.from_json(want, "array<string>")).otherwise(F.array(want))
+        return F.coalesce(F.exists(kinds, lambda k: (k == got) | ((k == "number") & (got == "integer")) | (k == "any")), F.lit(False))
 
-    ok = F.col("id").isNotNull() & F.col("name").isNotNull() & F.col("arguments").isNotNull() & F.col("kinds").isNotNull()
+    whole = F.col("id").isNotNull() & F.col("name").isNotNull() & F.col("arguments").isNotNull()
+    ok = whole & F.col("kinds").isNotNull()
     full = F.size(F.array_except("needed", F.map_keys(F.from_json("arguments", "map<string,variant>")))) == 0
-    return calls.withColumn("valid", F.coalesce(ok & full & F.forall(given, fits), F.lit(False))).drop("kinds", "needed")
+    checked = F.coalesce(ok & full & F.forall(given, fits), F.lit(False))
+    return calls.withColumn("valid", F.when(F.col("listed").isNotNull() | ~whole, checked)).drop("kinds", "needed", "listed")
 
 
 def format_chats(df: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     """conv_id, turn, role, position, n_calls, n_valid, n_unanswered, link, message."""
-    spark = df.sparkSession
-    schemas = tool_schemas(spark, {}) if schemas is None else schemas
     messages = parsed(df)
     calls = checked_calls(messages, schemas)
     named = calls.where(F.col("id").isNotNull() & F.col("conv_id").isNotNull())
@@ -112,12 +134,12 @@ def format_chats(df: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     answered = messages.where(F.col("call_id").isNotNull()).select("conv_id", F.col("call_id").alias("id")).distinct()
     # Per message: its calls as canonical JSON, in their order.
     told = calls.join(answered.withColumn("hit", F.lit(True)), ["conv_id", "id"], "left")
-    text = F.concat(F.lit('{"arguments":'), F.coalesce("arguments", F.lit("null")), F.lit(',"id":'), _quoted(F.col("id")), F.lit(',"name":'), _quoted(F.col("name")), F.lit(',"valid":'), F.col("valid").cast("string"), F.lit("}"))
+    text = F.concat(F.lit('{"arguments":'), F.coalesce("arguments", F.lit("null")), F.lit(',"id":'), _quoted(F.col("id")), F.lit(',"name":'), _quoted(F.col("name")), F.lit(',"valid":'), F.coalesce(F.col("valid").cast("string"), F.lit("null")), F.lit("}"))
     by_message = told.groupBy("conv_id", "turn", "row").agg(
         F.sort_array(F.collect_set(F.struct("at", text.alias("text")))).alias("list"),
         F.count_if(F.col("hit").isNull()).alias("open"),
         F.count(F.lit(1)).alias("all"),
-        F.count_if("valid").alias("good"),
+        F.when(F.count_if(F.col("valid").isNull()) == 0, F.count_if("valid")).alias("good"),
     )
     m = messages.join(by_message.select(F.col("row").alias("r"), F.col("conv_id").alias("rc"), F.col("turn").alias("rt"), "list", "open", "all", "good"), (F.col("row") == F.col("r")) & F.col("conv_id").eqNullSafe(F.col("rc")) & F.col("turn").eqNullSafe(F.col("rt")), "left")
     m = m.join(first.select(F.col("conv_id").alias("fc"), F.col("id").alias("fi"), "call_turn", "call_row"), (F.col("conv_id") == F.col("fc")) & (F.col("call_id") == F.col("fi")), "left")
@@ -133,7 +155,7 @@ def format_chats(df: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
         F.when(F.col("list").isNotNull(), F.concat(F.lit(',"tool_calls":['), calls_json, F.lit("]"))).otherwise(F.lit("")), F.lit("}"),
     )
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
-    m = m.select("conv_id", "turn", "role", "row", "anchor", "late", "link", n("all").alias("n_calls"), n("good").alias("n_valid"), n("open").alias("n_unanswered"), line.alias("message"))
+    m = m.select("conv_id", "turn", "role", "row", "anchor", "late", "link", n("all").alias("n_calls"), F.when(F.col("all").isNotNull(), F.col("good")).otherwise(F.lit(0)).cast("bigint").alias("n_valid"), n("open").alias("n_unanswered"), line.alias("message"))
     return _placed(m)
 
 

@@ -103,6 +103,25 @@ def test_tool_calls(spark):
     assert chat.format_chats(df.where("false")).count() == 0
 
 
+def test_declared_tools(spark):
+    js = lambda x: json.dumps(x)
+    add = {"name": "add", "parameters": {"properties": {"a": {"type": "number"}, "b": {"type": ["integer", "null"]}, "c": {}}, "required": ["a"]}}
+    calls = [call("c1", "add", {"a": 1, "b": 2, "c": "x"}), call("c2", "add", {"b": 2}), call("c3", "add", {"a": 1, "b": 1.5}), call("c4", "now", {}), call("c5", "nope", {})]
+    said = js({"tool_calls": calls})
+    again = {"tools": [{"name": "add", "parameters": {"properties": {}}}]}
+    rows = [(1, 0, "system", js({"tools": [{"type": "function", "function": add}, {"name": "now"}]})), (1, 1, "assistant", said), (1, 2, "system", js(again)), (2, 0, "assistant", said), (2, 1, "assistant", js({"tool_calls": [call(None, "add", {"a": 1})]})), (3, 0, "user", "hi")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in chat.format_chats(df).collect()}
+    valid = lambda r: [c["valid"] for c in json.loads(r.message)["tool_calls"]]
+    assert valid(got[1, 1]) == [True, False, False, True, False] and got[1, 1].n_valid == 2
+    # No tools are declared here: nothing is checked, except that a call without an identifier is invalid.
+    assert valid(got[2, 0]) == [None] * 5 and got[2, 0].n_valid is None and got[2, 0].n_calls == 5
+    assert valid(got[2, 1]) == [False] and got[2, 1].n_valid == 0
+    assert got[3, 0].n_valid == 0
+    none = chat.format_chats(df, chat.tool_schemas(spark, {})).where("conv_id = 2 AND turn = 0").first()
+    assert valid(none) == [False] * 5 and none.n_valid == 0
+
+
 def test_targets():
     got = {s.source: s.target for s in mixing.targets({"a": 10, "b": 1000, "c": 100, None: 90})}
     assert got["a"] == 30 and got["c"] == 300
