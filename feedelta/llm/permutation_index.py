@@ -58,7 +58,7 @@ def _pivots(rows: DataFrame, n: int, sample: int):
 def classes(rows: DataFrame, k: int) -> DataFrame:
     """class (its smallest id), v, members (its k + 1 smallest ids). Only these ids leave the map side of a large class."""
     w = Window.partitionBy("v").orderBy("id")
-    few = rows.select("id", "v").withColumn("at", F.row_number().over(w)).where(F.col("at") <= k + 2)
+    few = rows.select("id", "v").distinct().withColumn("at", F.row_number().over(w)).where(F.col("at") <= k + 1)
     return few.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("members")).select(F.col("members")[0].alias("class"), "v", F.slice("members", 1, k + 1).alias("members"))
 
 

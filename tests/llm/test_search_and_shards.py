@@ -31,6 +31,17 @@ def test_search_with_copies_ties_and_bad_vectors(spark):
     assert permutation_index.search(df.where("vec_id = 20"), F.col("id") % 20 == 0).count() == 0
 
 
+def test_repeated_rows_count_once(spark):
+    rng = np.random.default_rng(4)
+    vs = rng.normal(size=(40, 8)).tolist()
+    rows = [(i, vs[i]) for i in range(40)] + [(i, vs[0]) for i in range(100, 140)]
+    df = spark.createDataFrame(rows * 2 + [(0, vs[0])] * 30, "vec_id long, embedding array<double>")
+    got = {}
+    for r in permutation_index.search(df, F.col("id") % 20 == 0, k=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == brute(rows, 20, lambda i: i % 20 == 0)
+
+
 def test_recall_on_the_test_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
