@@ -5,7 +5,8 @@ phrases that occur in that text; the language that needs the fewest phrases, nor
 wins. Letters only are used, in lower case; everything else is one space.
 
 Training: at most SAMPLE_DOCS documents of a language (those with the smallest MD5 of their id, of the shorter ones), and of
-these as many whole texts as fit TRAIN_CHARS letters. That bound is what the driver and each worker hold; all languages
+these as many whole texts as fit TRAIN_CHARS letters. A language that has no letters in these, as where all its texts are
+longer than LONGEST, is learned from its shortest texts with letters, of the first of them at most TRAIN_CHARS letters. That bound is what the driver and each worker hold; all languages
 get the same amount where they have it. Prediction reads every text to its end, in blocks of BLOCK characters that are
 parsed side by side; a block border ends a phrase in every language alike.
 
@@ -187,9 +188,29 @@ def train(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
         more = letters(r["text"])
         if more and len(have) + len(more) <= max(train_chars, len(more) if not have else 0):
             samples[r["lang"]] = f"{have} {more}" if have else more
+    if missing := sorted(set(frequency) - set(samples)):
+        samples |= _from_shortest(rows.where(F.col("lang").isin(missing)), sample_docs, train_chars)
     return Model(samples, frequency)
 
 
+def _from_shortest(rows: DataFrame, sample_docs: int, train_chars: int) -> dict[str, str]:
+    """Samples of languages from their shortest texts that have a letter; a text that is longer by itself gives its first letters."""
+    some = rows.where(F.col("text").rlike(r"\p{L}"))
+    sized = some.select("lang", F.length("text").alias("size"), "h", "id").withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("size", "h", "id"))).where(F.col("at") <= sample_docs)
+    picked = some.withColumn("size", F.length("text")).join(F.broadcast(sized.select("lang", "id", "size").distinct()), ["lang", "id", "size"])
+    picked = picked.select("lang", "size", "h", "id", F.substring(F.regexp_replace("text", r"\P{L}+", " "), 1, train_chars + 1).alias("text"))
+    # Texts that come after the bound is reached stay where they are.
+    w = Window.partitionBy("lang").orderBy("size", "h", "id", "text")
+    before = F.coalesce(F.sum(F.length("text")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    picked = picked.withColumns({"before": before, "at": F.row_number().over(w)}).where((F.col("before") < train_chars) & (F.col("at") <= sample_docs)).orderBy("lang", "at").collect()
+    samples: dict[str, str] = {}
+    for r in picked:
+        have, more = samples.get(r["lang"], ""), letters(r["text"])[:train_chars].rstrip()
+        if more and len(have) + len(more) <= train_chars:
+            samples[r["lang"]] = f"{have} {more}" if have else more
+    return samples
+
+
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with lang_pred, score and bits (per letter, in the predicted language)."""
     import pyarrow as pa

@@ -62,6 +62,22 @@ def test_language_edge_cases(docs, no_docs):
     assert {r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_with_long_texts_only(spark):
+    words = {"aa": "ka lo mi tu re sa", "bb": "xen pyr qof wuz jik vam"}
+    rows = []
+    for lang, w in words.items():
+        for i in range(8):
+            rows.append((len(rows), (w + f" {w[i]}{w[-1 - i]} ") * (10 if lang == "aa" else 2500), lang))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(d)
+    assert min(len(t) for _, t, k in rows if k == "bb") > language.LONGEST and sorted(model.langs) == ["aa", "bb"]
+    assert max(2**b for b in model.bits) <= language.TRAIN_CHARS + 1
+    got = {r.doc_id: r.lang_pred for r in language.identify(d).collect()}
+    assert all(got[i] == k for i, _, k in rows)
+    late = d.withColumn("text", F.concat(F.lit("7 " * 30_000), "text"))  # letters come late
+    assert sorted(language.train(late).langs) == ["aa", "bb"]
+
+
 TOOLS = {"add": {"a": ("number", True), "b": ("integer", True), "note": ("string", False)}, "now": {}}
 
 
