@@ -21,15 +21,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from feedelta.llm.common import bounded_batches, held_by_worker, release_memory, releasing, without
+from feedelta.llm.common import bounded_batches, held_by_worker, releasing, without
 
 #: The last character of a word is moved up by this much, so "ends a word" is part of the alphabet.
 END = 0x1000
-#: Entries of a generation of a Python worker's caches; the cache of pairs is emptied when it has as many.
-CHUNK_CACHE, WORD_CACHE, PAIR_CACHE = 75_000, 75_000, 250_000
+#: Entries of a generation of a Python worker's cache of words; the cache of pairs is emptied when it has as many.
+WORD_CACHE, PAIR_CACHE = 200_000, 250_000
 NEVER = 1 << 30
 #: Texts are encoded together until they have about as many bytes.
-PART_BYTES = 1 << 20
+PART_BYTES = 2 << 20
+# How the vocabulary's file normalises texts and splits them into words.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 
 
 def byte_alphabet() -> list[str]:
@@ -109,6 +112,11 @@ class Bpe:
         model = spec["model"]
         if model["type"] != "BPE" or model["end_of_word_suffix"] != "</w>" or model.get("byte_fallback") or model.get("continuing_subword_prefix"):
             raise ValueError("a BPE vocabulary with word ends is needed")
+        splitters = spec["pre_tokenizer"].get("pretokenizers", [{}])
+        if spec["normalizer"] != NORMALIZER or splitters[0].get("pattern") != {"Regex": SPLIT} or [x.get("type") for x in splitters] != ["Split", "ByteLevel"]:
+            raise ValueError("a vocabulary with another normaliser or splitter")
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]):
+            raise ValueError("special tokens with conditions")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = [""] * (max([*model["vocab"].values(), *self.special.values()]) + 1)
         for t, i in [*model["vocab"].items(), *self.special.items()]:
@@ -238,106 +246,167 @@ class Recent:
     def __init__(self, most: int):
         self.most, self.now, self.old = most, {}, {}
 
-    def missing(self, keys: set) -> set:
-        """Those of the keys that are not held; all others are in `now` afterwards."""
-        lack = keys - self.now.keys()
-        if self.now and len(self.now) + len(lack) > self.most:
-            self.old, self.now, lack = self.now, {}, keys
-            release_memory()
-        self.now.update((k, self.old[k]) for k in lack if k in self.old)
-        return lack - self.old.keys()
+    def missing(self, keys: list) -> list:
+        """Those of the distinct keys that are not held; all others are in `now` afterwards."""
+        now = self.now
+        lack = [k for k in keys if k not in now]
+        if now and len(now) + len(lack) > self.most:
+            self.old, self.now, lack = now, {}, keys
+        if not self.old:
+            return lack
+        old, now, out = self.old, self.now, []
+        for k in lack:
+            if k in old:
+                now[k] = old[k]
+            else:
+                out.append(k)
+        return out
 
 
 class Codec:
-    """Texts to ids and back, with caches of white-space-free chunks, words and token pairs."""
+    """Texts to ids and back, with caches of words and token pairs. A part's texts are cut into words, each distinct word is
+    encoded once, and ids are gathered and joined by column operations."""
 
     #: Below this, lower case and normal forms are the same in every Unicode version.
     _OTHER = r"[^\x00-\u024f]"
 
     def __init__(self, bpe: Bpe):
+        import os
+
+        import pyarrow as pa
         import regex
 
-        self.bpe, self.chunks, self.known, self.pairs = bpe, Recent(CHUNK_CACHE), Recent(WORD_CACHE), {}
+        self.bpe, self.known, self.pairs = bpe, Recent(WORD_CACHE), {}
         self.other = regex.compile(self._OTHER)
-        # Fixed value: the pattern by which the vocabulary's file splits texts.
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(bpe.special, key=len, reverse=True))) + ")") if bpe.special else None
-        self.white = regex.compile(r"\s+")
-        #: str.split() also splits at these; the vocabulary's pattern does not
-        self.odd = regex.compile(r"[\x1c-\x1f]")
+        self.split = regex.compile(SPLIT)
+        names = sorted(bpe.special, key=len, reverse=True)
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
+        #: what all special tokens begin with; a text without it has none
+        self.mark = os.path.commonprefix(names)
         self.byte = byte_alphabet()
+        self.names = pa.array(bpe.names, pa.string())
         self._library = None
 
-    def pieces(self, chunk: str) -> list[str]:
-        """Words of a chunk in normal form. Rare scripts go through the library's own normaliser and splitter."""
-        if self.other.search(chunk) is None:
-            import unicodedata
+    def _others(self, text: str) -> list[str]:
+        """Words of a text with rare scripts: its chunks with such letters go through the library's own normaliser and splitter."""
+        import unicodedata
 
-            return self.split.findall(unicodedata.normalize("NFC", chunk).lower())
         if self._library is None:
             from tokenizers import Regex, normalizers, pre_tokenizers
 
             normal = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
-            self._library = normal, pre_tokenizers.Split(Regex(self.split.pattern), "removed", invert=True)
+            self._library = normal, pre_tokenizers.Split(Regex(SPLIT), "removed", invert=True)
         normal, splitter = self._library
-        return [w for w, _ in splitter.pre_tokenize_str(normal.normalize_str(chunk))]
+        out: list[str] = []
+        # Neither normal form, lower case nor words reach across a space, so chunks can be treated alone.
+        for chunk in text.split(" "):
+            if self.other.search(chunk) is None:
+                out += self.split.findall(unicodedata.normalize("NFC", chunk).lower())
+            else:
+                out += [w for w, _ in splitter.pre_tokenize_str(normal.normalize_str(chunk))]
+        return out
+
+    def _plain(self, text: str) -> list[str]:
+        """Words of a text without special tokens, in normal form."""
+        if text.isascii():
+            return self.split.findall(text.lower())
+        if self.other.search(text) is not None:
+            return self._others(text)
+        import unicodedata
+
+        return self.split.findall(unicodedata.normalize("NFC", text).lower())
+
+    def words_of(self, text: str | None) -> list[str]:
+        """Words of a text; a special token is a word of its own, led by a space, which no other word has."""
+        if not text:
+            return []
+        if self.cut is None or self.mark not in text:
+            return self._plain(text)
+        return [w for part in self.cut.split(text) for w in ([f" {part}"] if part in self.bpe.special else self._plain(part))]
 
     def _spelled(self, w: str) -> str:
-        s = "".join(map(self.byte.__getitem__, w.encode()))
+        s = w if w.isascii() and w.isprintable() else "".join(map(self.byte.__getitem__, w.encode()))
         return s[:-1] + chr(ord(s[-1]) + END)
 
-    def _chunks(self, text: str) -> list[str]:
-        """Neither normal form, lower case nor words reach across white space, so chunks can be treated alone."""
-        plain = self.white.split if self.odd.search(text) else str.split
-        if self.cut is not None and "<|" in text:
-            return [c for part in self.cut.split(text) for c in ([part] if part in self.bpe.special else plain(part)) if c]
-        return text.split() if plain is str.split else [c for c in plain(text) if c]
+    def _learn(self, words: list[str]) -> None:
+        known = self.known.now
+        plain = []
+        for w in words:
+            if w[0] == " ":
+                known[w] = _little(array("I", [self.bpe.special[w[1:]]]))
+            else:
+                plain.append((self._spelled(w), w))
+        plain.sort()
+        for (_, w), ids in zip(plain, self.bpe.words([s for s, _ in plain], self.pairs), strict=True):
+            known[w] = _little(array("I", ids))
+
+    def encode_parts(self, texts: list[str | None]):
+        """The number of ids of each text (numpy int64) and all ids in a row (numpy uint32)."""
+        import numpy as np
+        import pyarrow as pa
+
+        words, sizes = [], []
+        for t in texts:
+            got = self.words_of(t)
+            words += got
+            sizes.append(len(got))
+        if not words:
+            return np.zeros(len(texts), np.int64), np.zeros(0, np.uint32)
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        del words
+        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if new := self.known.missing(distinct):
+            self._learn(new)
+        have = self.known.now
+        own = [have[w] for w in distinct]
+        flat = np.frombuffer(b"".join(own), "<u4")
+        n = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        first = np.cumsum(n) - n
+        each = n[at]
+        ends = np.cumsum(each)
+        ids = flat[np.repeat(first[at] - (ends - each), each) + np.arange(ends[-1])]
+        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+        return np.diff(upto), ids
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self._chunks(t) if t else [] for t in texts]
-        new = self.chunks.missing({c for chunks in cut for c in chunks})
-        if new:
-            self._learn(new)
-        have = self.chunks.now
-        return [b"".join([have[c] for c in chunks]) for chunks in cut]
-
-    def _learn(self, chunks: set[str]) -> None:
-        special = self.bpe.special
-        pieces = {c: self.pieces(c) for c in chunks if c not in special}
-        spelled = sorted((self._spelled(w), w) for w in self.known.missing({w for ws in pieces.values() for w in ws}))
-        known, have = self.known.now, self.chunks.now
-        for (_, w), ids in zip(spelled, self.bpe.words([s for s, _ in spelled], self.pairs), strict=True):
-            known[w] = _little(array("I", ids))
-        for c, ws in pieces.items():
-            have[c] = b"".join([known[w] for w in ws])
-        for c in chunks & special.keys():
-            have[c] = _little(array("I", [special[c]]))
+        import numpy as np
+
+        n, ids = self.encode_parts(texts)
+        return [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])] if len(n) else []
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
 
+    def decode_parts(self, n, ids):
+        """Token texts with a space between them, as an Arrow array of strings: the vocabulary's file names no decoder, and that is what decoding then means."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, self.names.take(pa.array(ids))), " ")
+
     def decode(self, ids: bytes | None) -> str:
-        """Token texts with a space between them: the vocabulary's file names no decoder, and that is what decoding then means."""
-        names = self.bpe.names
-        return " ".join([names[i] for i in memoryview(_little(ids or b"")).cast("I")])
+        import numpy as np
+
+        got = np.frombuffer(ids or b"", "<u4")
+        return self.decode_parts(np.array([len(got)]), got)[0].as_py()
 
 
 def _little(x) -> bytes:
+    """Bytes of 32-bit integers, least significant byte first."""
     import sys
 
     if isinstance(x, array):
         if sys.byteorder == "big":
             x.byteswap()
         return x.tobytes()
-    if sys.byteorder == "big":
-        x = array("I", x)
-        x.byteswap()
-        return x.tobytes()
-    return x
+    return x.astype("<u4").tobytes()
 
 
 def _mapped(df: DataFrame, vocabulary: str, source: str, results: list[StructField], work) -> DataFrame:
+    """df with the columns that `work` makes of parts of a column: Arrow arrays, one for each result."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -350,7 +419,6 @@ def _mapped(df: DataFrame, vocabulary: str, source: str, results: list[StructFie
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = held_by_worker(("bpe", vocabulary), lambda: Codec(Bpe(json.loads(spec.value))))
-        kinds = [pa.binary() if f.dataType == BinaryType() else pa.string() if f.dataType == StringType() else pa.int64() for f in results]
         for batch in batches:
             sizes, at = pc.fill_null(pc.binary_length(batch.column(source)), 0).to_pylist(), 0
             while at < len(sizes):
@@ -359,32 +427,57 @@ def _mapped(df: DataFrame, vocabulary: str, source: str, results: list[StructFie
                     held += sizes[at]
                     at += 1
                 part = batch.slice(start, at - start)
-                rows = work(codec, part.column(source).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *work(codec, part.column(source))], names=schema.names)
 
     return df.mapInArrow(lambda batches: releasing(run(batches)), schema)
 
 
-def _encoded(codec: Codec, texts: list[str | None]) -> tuple[list[int], list[bytes]]:
-    ids = codec.encode_all(texts)
-    return [len(x) // 4 for x in ids], ids
+def _packed(n, ids):
+    """Ids of each row as one binary value; the values lie in one buffer."""
+    import numpy as np
+    import pyarrow as pa
+
+    offsets = (4 * np.concatenate([[0], np.cumsum(n)])).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(_little(ids))])
+
+
+def _encoded(codec: Codec, texts) -> list:
+    import pyarrow as pa
+
+    n, ids = codec.encode_parts(texts.to_pylist())
+    return [pa.array(n, pa.int64()), _packed(n, ids)]
+
+
+def _round_trip(codec: Codec, texts) -> list:
+    import pyarrow as pa
+
+    n, ids = codec.encode_parts(texts.to_pylist())
+    return [pa.array(n, pa.int64()), _packed(n, ids), codec.decode_parts(n, ids)]
+
+
+def _decoded(codec: Codec, packed) -> list:
+    import numpy as np
+
+    raw = [x or b"" for x in packed.to_pylist()]
+    return [codec.decode_parts(np.array([len(x) // 4 for x in raw]), np.frombuffer(b"".join(raw), "<u4"))]
+
+
+_N_TOKENS, _IDS, _TEXT = StructField("n_tokens", LongType(), False), StructField("ids", BinaryType(), False), StructField("decoded", StringType(), False)
 
 
 def encode(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """df with n_tokens (bigint) and ids (binary, little-endian unsigned 32-bit)."""
-    fields = [StructField("n_tokens", LongType(), False), StructField("ids", BinaryType(), False)]
-    return _mapped(df, vocabulary, text, fields, _encoded)
+    return _mapped(df, vocabulary, text, [_N_TOKENS, _IDS], _encoded)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
     """df with decoded (string)."""
-    return _mapped(df, vocabulary, ids, [StructField("decoded", StringType(), False)], lambda c, v: ([c.decode(x) for x in v],))
+    return _mapped(df, vocabulary, ids, [_TEXT], _decoded)
 
 
 def round_trip(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """encode and decode in one pass over the batches: n_tokens, ids, decoded."""
-    fields = [StructField("n_tokens", LongType(), False), StructField("ids", BinaryType(), False), StructField("decoded", StringType(), False)]
-    return _mapped(df, vocabulary, text, fields, lambda c, v: (*(e := _encoded(c, v)), [c.decode(x) for x in e[1]]))
+    return _mapped(df, vocabulary, text, [_N_TOKENS, _IDS, _TEXT], _round_trip)
 
 
 def ids_array(ids: Column) -> Column:

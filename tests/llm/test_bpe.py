@@ -3,6 +3,7 @@ import random
 import struct
 
 import numpy as np
+import pytest
 
 from feedelta.llm import bpe
 from feedelta.llm.queries import vocabulary_path
@@ -29,7 +30,7 @@ def test_ids_and_decoding_are_the_librarys():
 def test_full_caches_change_no_ids():
     b, lib = bpe.Bpe.load(vocabulary_path()), library()
     small = bpe.Codec(b)
-    small.chunks, small.known = bpe.Recent(7), bpe.Recent(3)
+    small.known = bpe.Recent(3)
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefgh,'1") for _ in range(rng.randrange(1, 6))) for _ in range(40)] + ["<|endoftext|>"]
     for _ in range(60):
@@ -38,6 +39,15 @@ def test_full_caches_change_no_ids():
             assert np.frombuffer(ids, "<u4").tolist() == e.ids
 
 
+def test_other_vocabularies_are_refused():
+    import json
+
+    spec = json.load(open(vocabulary_path(), encoding="utf-8"))
+    for key in ("normalizer", "pre_tokenizer"):
+        with pytest.raises((ValueError, AttributeError)):
+            bpe.Bpe(spec | {key: {"type": "Lowercase"}})
+
+
 def test_pair_test_is_what_merging_says():
     b = bpe.Bpe.load(vocabulary_path())
     rng, names = random.Random(2), {i: t for t, i in b.whole.items()}
