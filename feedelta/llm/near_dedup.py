@@ -11,10 +11,12 @@ each class, out of a spanning forest of likely pairs in each region. Then, in ea
 components, whole sets are compared for all likely pairs between them. Only links leave a region, fewer than it has
 classes; what is not compared lies within one component already, so no component changes by it.
 
-Deeper prefixes part similar classes, and so do the borders of sorted partitions. All classes of such runs therefore take a
-second path, which is exact: shingles are ordered from rare to frequent, those of one component only before all others, and two similar sets have a shingle in common among
-the first |set| - ceil(75 % of |set|) + 1 of each. Whole sets are compared within the list of every such shingle whose
-classes are in several components; equal lists are compared once, long ones block by block. Nothing is capped.
+Deeper prefixes part similar classes, and so do the borders of sorted partitions. The classes of such a run therefore take
+a second path, which is exact, if the run still has several components: every set is put in one order, from rare to
+frequent shingles, and two similar sets have a shingle in common among the first |set| - ceil(75 % of |set|) + 1 of each.
+Whole sets are compared within the list of every such shingle whose classes are in several components; equal lists are
+compared once, long ones block by block. Nothing is capped. How frequent a shingle is comes from COUNTERS counts of hash
+values; any order that is the same for all sets is right, and this one makes lists short.
 
 Contract: words are runs of other than the six ASCII white-space characters, A-Z in lower case; a document's set has its
 distinct 5-word shingles, or its whole word sequence if it has fewer words; documents are linked if 100 * intersection >=
@@ -23,9 +25,10 @@ component; rows that repeat an id are separate documents, kept if the id is the
 smallest unless all are null, and such rows are kept; extra columns are ignored by `near_duplicates` and kept by `dedup`;
 an empty table gives an empty table.
 
-Bounds: region work holds at most REGION sketches (128 bytes each), their similarity matrix and sets; a block of a list
-about half of that; the hash of word
-sequences has 64 bits, so among 10**9 different texts two share it with chance 0.03.
+Bounds: texts are hashed in pieces of about PIECE bytes; region work holds at most REGION sketches (128 bytes each), their
+similarity matrix and sets, a block of a list about half of that; COUNTERS counts reach the driver. Word sequences are told
+apart by 128 bits: classes are keyed by 64 of them, and should the other 64 differ within a class, all is hashed anew with
+another seed.
 """
 
 from __future__ import annotations
@@ -39,54 +42,117 @@ from feedelta.llm.common import bounded_batches, cut, held_by_worker, releasing
 from feedelta.llm.components import components
 
 WORDS = 5
-HASHES, ORDERS, DEPTH, LABEL = 128, 32, 3, 16
+HASHES, ORDERS, DEPTH, LABEL = 128, 32, 3, 8
+#: Bytes of text that are hashed together, and the length from which a word is hashed by itself.
+PIECE, LONG_WORD = 1 << 20, 1 << 16
+#: Counts of shingle hashes, and the parts in which they are added up.
+COUNTERS, SLICES = 1 << 20, 64
 #: Most classes of a region; beyond, prefixes are taken longer, and the classes are also compared by their rare shingles.
 REGION = 1024
 #: Signature agreement from which a pair is confirmed: 0.75 less 3.9 standard deviations of the estimate.
 LIKELY = 0.6
 PERCENT = 75
+#: Shingles of a region up to which a table of all of them is made.
+MARKED = 4 << 20
 
 
 class Hasher:
-    """Shingle sets and signatures of texts."""
+    """Shingle sets and signatures of texts, by operations on whole arrays of bytes and words."""
 
     def __init__(self):
         import numpy as np
 
         rng = np.random.default_rng(11)
         self.np = np
+        self.letter = rng.integers(0, 2**64, 256, dtype=np.uint64)
+        self.letter[65:91] = self.letter[97:123]  # A-Z count as a-z
+        self.white = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+        self.power = np.multiply.accumulate(np.full(LONG_WORD, rng.integers(0, 2**61) * 8 + 5, np.uint64))
         self.mul = rng.integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.a = rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.b = rng.integers(0, 2**32, HASHES, dtype=np.uint32)
-        self.known: dict[bytes, int] = {}
 
-    def words(self, text: str | None) -> list[bytes]:
-        # bytes.lower() changes A-Z only, and bytes.split() splits at the six ASCII characters only.
-        return (text or "").encode("utf-8", "surrogatepass").lower().split()
+    def _mixed(self, h):
+        np = self.np
+        h = h ^ (h >> np.uint64(31))
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(29))
 
-    def shingles(self, words: list[bytes]):
-        """Sorted distinct hashes of the word shingles."""
-        import xxhash
+    def words(self, raw, bounds):
+        """A hash of each word of raw (uint8), and the number of words before each bound. Words don't reach over bounds."""
+        np = self.np
+        white = self.white[raw]
+        begins, ends = ~white, ~white
+        filled = np.diff(bounds) > 0
+        firsts, lasts = bounds[:-1][filled], bounds[1:][filled] - 1
+        begins[1:] &= white[:-1]
+        begins[firsts] = ~white[firsts]
+        ends[:-1] &= white[1:]
+        ends[lasts] = ~white[lasts]
+        start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        size = end - start
+        before = np.searchsorted(start, bounds)
+        if not len(start):
+            return np.zeros(0, np.uint64), before
+        long = np.flatnonzero(size > LONG_WORD)
+        if len(long):
+            import xxhash
+
+            for i in long:
+                white[start[i] : end[i]] = True
+                white[start[i]] = False  # stands for the word
+            size[long] = 1
+        at = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(at, size)
+        h = np.add.reduceat(self.letter[raw[~white]] * self.power[place], at)
+        for i in long:
+            h[i] = xxhash.xxh64_intdigest(raw[start[i] : end[i]].tobytes().lower())
+        return self._mixed(h), before
+
+    def _pieces(self, raw, bounds):
+        """Words of all texts, piece by piece; a long text is cut at white space."""
+        np = self.np
+        i, n = 0, len(bounds) - 1
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + PIECE, side="right")) - 1)
+            a, b = bounds[i], bounds[j]
+            if b - a <= PIECE:
+                h, before = self.words(raw[a:b], bounds[i : j + 1] - a)
+                for k in range(j - i):
+                    yield h[before[k] : before[k + 1]]
+            else:  # one long text
+                got = []
+                while a < b:
+                    c = min(a + PIECE, b)
+                    while c < b and not self.white[raw[c]]:
+                        c += 1
+                    got.append(self.words(raw[a:c], np.array([0, c - a]))[0])
+                    a = c
+                yield np.concatenate(got)
+            i = j
+
+    def texts(self, column) -> Iterator:
+        """The word hashes of each text of an Arrow column; null counts as empty."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        np = self.np
+        column = pc.fill_null(column, "").cast(pa.large_binary())
+        _, offsets, data = column.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+        yield from self._pieces(np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), bounds)
 
-        np, known = self.np, self.known
-        if not words:
+    def shingles(self, h):
+        """Sorted distinct hashes of the word shingles."""
+        np = self.np
+        if not len(h):
             return np.zeros(0, np.uint64)
-        if len(known) > 250_000:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        n = max(1, len(words) - WORDS + 1)
-        s = np.zeros(n, np.uint64)
-        for k in range(min(WORDS, len(words))):
-            s += h[k : k + n] * self.mul[k]
+        n = max(1, len(h) - WORDS + 1)
         # A sequence shorter than a shingle is told apart by its length.
-        s += np.uint64(min(len(words), WORDS) * 0x9E3779B97F4A7C15 % 2**64)
-        s ^= s >> np.uint64(31)
-        s *= np.uint64(0xBF58476D1CE4E5B9)
-        s ^= s >> np.uint64(29)
-        return np.unique(s)
+        s = np.full(n, min(len(h), WORDS) * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
+        for k in range(min(WORDS, len(h))):
+            s += h[k : k + n] * self.mul[k]
+        return np.unique(self._mixed(s))
 
     def signature(self, shingles):
         """HASHES values of 16 bits."""
@@ -98,56 +164,54 @@ class Hasher:
         return ((low * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
 
 
-def sequence_hash(words: list[bytes]) -> int:
+def _signed(v: int) -> int:
+    return v - 2**64 if v >= 2**63 else v
+
+
+def sequence_hash(h, seed: int) -> tuple[int, int]:
+    """The class of a word sequence, and 64 bits more that tell classes with the same key apart."""
     import xxhash
 
-    v = xxhash.xxh3_64_intdigest(b" ".join(words))
-    return v - 2**64 if v >= 2**63 else v
+    v = xxhash.xxh3_128_intdigest(h.tobytes(), seed)
+    return _signed(v % 2**64), _signed(v >> 64)
 
 
 def _hasher() -> Hasher:
     return held_by_worker("shingles", Hasher)
 
 
-def signatures(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """doc_id, node (hash of the word sequence; null without words), n_shingles, sig (binary)."""
+def signatures(df: DataFrame, id_col: str, text: str, seed: int = 0) -> DataFrame:
+    """doc_id, node and proof (hashes of the word sequence; null without words), n_shingles, sig (16-bit values, most
+    significant byte first), sketch (their low bytes)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         hasher = _hasher()
         for b in batches:
-            ids, nodes, sizes, sigs = b.column("doc_id"), [], [], []
-            for t in b.column("text").to_pylist():
-                words = hasher.words(t)
-                s = hasher.shingles(words)
-                nodes.append(sequence_hash(words) if words else None)
+            nodes, proofs, sizes, sigs, low = [], [], [], [], []
+            for h in hasher.texts(b.column("text")):
+                s = hasher.shingles(h)
+                node, proof = sequence_hash(h, seed) if len(h) else (None, None)
+                sig = hasher.signature(s) if len(h) else None
+                nodes.append(node)
+                proofs.append(proof)
                 sizes.append(len(s))
-                sigs.append(hasher.signature(s).tobytes() if words else None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "node", "n_shingles", "sig"])
+                sigs.append(None if sig is None else sig.astype(">u2").tobytes())
+                low.append(None if sig is None else sig.astype("u1").tobytes())
+            cols = [pa.array(nodes, pa.int64()), pa.array(proofs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(low, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "node", "proof", "n_shingles", "sig", "sketch"])
 
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(lambda batches: releasing(run(batches)), "doc_id bigint, node bigint, n_shingles bigint, sig binary")
+    return rows.mapInArrow(lambda batches: releasing(run(batches)), "doc_id bigint, node bigint, proof bigint, n_shingles bigint, sig binary, sketch binary")
 
 
 def _labels(classes: DataFrame) -> DataFrame:
-    """order, label (LABEL values, big-endian), node: each class once in every order."""
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        step = HASHES // ORDERS
-        for b in batches:
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
-            nodes = b.column("node").to_numpy()
-            twice = np.concatenate([sig, sig], axis=1).astype(">u2")
-            for o in range(ORDERS):
-                raw = np.ascontiguousarray(twice[:, o * step : o * step + LABEL]).tobytes()
-                label = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * LABEL), len(nodes), [None, pa.py_buffer(raw)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), o, np.int32)), label, pa.array(nodes)], names=["o", "label", "node"])
-
-    return classes.select("node", "sig").mapInArrow(lambda batches: releasing(run(batches)), "o int, label binary, node bigint")
+    """o (order), label (LABEL values of two bytes), node: each class once in every order."""
+    step, size = 2 * HASHES // ORDERS, 2 * LABEL
+    around = F.concat("sig", F.substring("sig", 1, size))
+    rows = classes.select("node", around.alias("around"), F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("o"))
+    return rows.select("o", F.substring("around", F.col("o") * step + 1, F.lit(size)).alias("label"), "node")
 
 
 def _split(common, lo: int, hi: int, depth: int, most: int) -> list[tuple[int, int]]:
@@ -167,36 +231,42 @@ def _split(common, lo: int, hi: int, depth: int, most: int) -> list[tuple[int, i
 
 
 def _regions(labels: DataFrame, most: int) -> DataFrame:
-    """region, node for all regions of at least two classes, from the sorted orders. Classes of runs that are cut, by depth
-    or by the border of a partition, come once more with a null region."""
+    """region, node, parted for all regions of at least two classes, from the sorted orders. Classes of runs that are cut, by
+    depth or by the border of a partition, come once more with the run as region and `parted` true."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         import xxhash
 
+        def name(o, values) -> int:
+            return xxhash.xxh3_64_intdigest(values.tobytes() + int(o).to_bytes(2, "big"))
+
         def out(o, lab, nodes, border):
             # border: whether the first and the last run may go on elsewhere
             common = np.zeros(len(nodes), np.int64)
             same = (lab[1:] == lab[:-1]) & (o[1:] == o[:-1])[:, None]
             common[1:] = np.where(same.all(axis=1), LABEL, same.argmin(axis=1))
-            starts = np.flatnonzero(common < DEPTH).tolist() + [len(nodes)]
+            starts = np.flatnonzero(common < DEPTH)
+            ends = np.append(starts[1:], len(nodes))
             ids, members, parted = [], [], []
-            for a, b in zip(starts, starts[1:], strict=False):
+            # Runs of one class are met in no region, unless they may go on elsewhere.
+            some = (ends - starts > 1) | ((starts == 0) & border[0]) | ((ends == len(nodes)) & border[1])
+            for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True):
                 if b - a > most or (a == 0 and border[0]) or (b == len(nodes) and border[1]):
-                    parted.append(nodes[a:b])
+                    ids.append(np.full(b - a, name(o[a], lab[a, :DEPTH]), np.uint64))
+                    members.append(nodes[a:b])
+                    parted.append(np.ones(b - a, bool))
                 if b - a < 2:
                     continue
                 for lo, hi in _split(common, a, b, DEPTH, most):
                     deep = int(common[lo + 1 : hi].min())
-                    name = xxhash.xxh3_64_intdigest(lab[lo, :deep].tobytes() + int(o[lo]).to_bytes(2, "big") + (nodes[lo].tobytes() if deep == LABEL else b""))
-                    ids.append(np.full(hi - lo, name, np.uint64).view(np.int64))
+                    key = lab[lo, :deep] if deep < LABEL else np.append(lab[lo].view(np.uint8), nodes[lo : lo + 1].view(np.uint8))
+                    ids.append(np.full(hi - lo, name(o[lo], key), np.uint64))
                     members.append(nodes[lo:hi])
+                    parted.append(np.zeros(hi - lo, bool))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(members))], names=["region", "node"])
-            if parted:
-                some = np.unique(np.concatenate(parted))
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(some)], names=["region", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids).view(np.int64)), pa.array(np.concatenate(members)), pa.array(np.concatenate(parted))], names=["region", "node", "parted"])
 
         held: list = []
         opens = True  # the first run may have begun in the partition before
@@ -223,7 +293,7 @@ def _regions(labels: DataFrame, most: int) -> DataFrame:
 
     parts = max(2, int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = labels.repartitionByRange(parts, "o", "label").sortWithinPartitions("o", "label", "node")
-    return ordered.mapInArrow(lambda batches: releasing(run(batches)), "region bigint, node bigint")
+    return ordered.mapInArrow(lambda batches: releasing(run(batches)), "region bigint, node bigint, parted boolean")
 
 
 def _agreement(sketch):
@@ -343,19 +413,13 @@ def _rest(regions: DataFrame, whole: bool = False) -> DataFrame:
             live = np.flatnonzero(likely.any(axis=1))
             if not len(live):
                 continue
-            ids = np.unique(np.frombuffer(b"".join(sets[i] for i in live), np.uint64), return_inverse=True)[1]
-            ends = np.cumsum(size[live])
-            own = dict(zip(live.tolist(), np.split(ids, ends[:-1]), strict=True))
-            mark = np.zeros(int(ids.max()) + 1, np.int32)
+            sizes = _intersections({i: np.frombuffer(sets[i], np.uint64) for i in live.tolist()})
             a, b = [], []
             for i in live.tolist():
                 js = np.flatnonzero(likely[i, i + 1 :] & (group[i + 1 :] != group[i])) + i + 1
                 if not len(js):
                     continue
-                mark[own[i]] = 1
-                parts = [own[j] for j in js.tolist()]
-                both = np.add.reduceat(mark[np.concatenate(parts)], np.concatenate([[0], np.cumsum(size[js])[:-1]]))
-                mark[own[i]] = 0
+                both = sizes(i, js)
                 for j in js[100 * both >= PERCENT * (size[i] + size[js] - both)].tolist():
                     if group[i] != group[j]:
                         a.append(nodes[i])
@@ -369,43 +433,107 @@ def _rest(regions: DataFrame, whole: bool = False) -> DataFrame:
     return ordered.mapInArrow(lambda batches: _in_batches(found(batches), ["a", "b"]), "a bigint, b bigint").distinct()
 
 
-def _shingle_rows(sets: DataFrame) -> DataFrame:
-    """node, root, size, shingle: a row for each shingle of a set."""
+def _intersections(sets: dict):
+    """A function (i, js) -> sizes of the intersections of set i with each of the sets js."""
+    import numpy as np
+
+    if sum(map(len, sets.values())) > MARKED:
+        # Large sets are looked up one in the other, which needs no table of all their members.
+        def looked_up(i, js):
+            own, out = sets[i], []
+            for j in js.tolist():
+                at = np.minimum(np.searchsorted(own, sets[j]), len(own) - 1)
+                out.append(int((own[at] == sets[j]).sum()))
+            return np.array(out)
+
+        return looked_up
+    ids = np.unique(np.concatenate(list(sets.values())), return_inverse=True)[1]
+    own = dict(zip(sets, np.split(ids, np.cumsum([len(x) for x in sets.values()])[:-1]), strict=True))
+    mark = np.zeros(int(ids.max()) + 1, np.int32)
+
+    def marked(i, js):
+        mark[own[i]] = 1
+        parts = [own[j] for j in js.tolist()]
+        got = np.add.reduceat(mark[np.concatenate(parts)], np.concatenate([[0], np.cumsum([len(x) for x in parts])[:-1]]))
+        mark[own[i]] = 0
+        return got
+
+    return marked
+
+
+def _frequency(sets: DataFrame):
+    """Of each of COUNTERS hash values a number that grows with how many shingles have it. Each task sends its counts once, in
+    SLICES parts; their sums reach the driver (four bytes each)."""
+    import numpy as np
+
+    width = COUNTERS // SLICES
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        n = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for raw in b.column("set"):
+                np.add.at(n, _counter(np.frombuffer(raw.as_buffer(), np.uint64)), 1)
+        if n.any():
+            parts = n.astype("<u4").reshape(SLICES, width)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["slice", "n"])
+
+    def add(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        sums: dict = {}
+        for b in batches:
+            for k, raw in zip(b.column("slice").to_pylist(), b.column("n"), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(raw.as_buffer(), "<u4").astype(np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([np.minimum(v, 2**32 - 1).astype("<u4").tobytes() for v in sums.values()], pa.binary())], names=["slice", "n"])
+
+    kind = "slice int, n binary"
+    total = np.zeros((SLICES, width), np.uint32)
+    for r in sets.select("set").mapInArrow(count, kind).repartition(SLICES, "slice").mapInArrow(add, kind).collect():
+        total[r["slice"]] = np.frombuffer(r["n"], "<u4")
+    return (8 * np.log2(np.maximum(total.ravel(), 1))).astype(np.uint8)
+
+
+def _counter(shingles):
+    import numpy as np
+
+    return (shingles >> np.uint64(64 - (COUNTERS - 1).bit_length())).astype(np.int64)
+
+
+def _first_shingles(sets: DataFrame, frequency) -> DataFrame:
+    """shingle, node, root: of each set so many of its rarest shingles that two similar sets have one of them in common."""
+    sent = sets.sparkSession.sparkContext.broadcast(frequency)  # COUNTERS bytes
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        rank = sent.value
         for b in batches:
-            nodes, roots, raw, at = b.column("node").to_numpy(), b.column("root").to_numpy(), b.column("set").to_pylist(), 0
-            while at < len(raw):
-                start, held = at, 0
-                while at < len(raw) and held < 4_000_000:
-                    held += len(raw[at])
-                    at += 1
-                size = np.array([len(x) // 8 for x in raw[start:at]], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[start:at], size)), pa.array(np.repeat(roots[start:at], size)), pa.array(np.repeat(size, size)), pa.array(np.frombuffer(b"".join(raw[start:at]), np.int64))], names=["node", "root", "size", "shingle"])
+            parts, sizes = [], []
+            for raw in b.column("set"):
+                s = np.frombuffer(raw.as_buffer(), np.uint64)
+                k = len(s) - -(-len(s) * PERCENT // 100) + 1
+                parts.append(s[np.argsort(rank[_counter(s)], kind="stable")[:k]])
+                sizes.append(k)
+            if parts:
+                n = np.array(sizes)
+                cols = [np.concatenate(parts).view(np.int64), np.repeat(b.column("node").to_numpy(), n), np.repeat(b.column("root").to_numpy(), n)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["shingle", "node", "root"])
 
-    return sets.select("node", "root", "set").mapInArrow(lambda batches: releasing(run(batches)), "node bigint, root bigint, size bigint, shingle bigint")
+    return sets.select("node", "root", "set").mapInArrow(lambda batches: releasing(run(batches)), "shingle bigint, node bigint, root bigint")
 
 
-def _rare_lists(sets: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+def _rare_lists(sets: DataFrame, most: int) -> DataFrame:
     """region, node, root: classes that have one of their rarest shingles in common, where these are in several components.
 
-    Any two sets that are similar enough and in different components are together in some region. A list of more than
-    `most` classes is dealt to cells of about most / 4, and every two cells make a region; cells of one and the same
-    component are not paired, so a large group costs only the outsiders in its lists.
+    sets: node, root, set. Any two sets that are similar enough and in different components are together in some region. A
+    list of more than `most` classes is dealt to cells of about most / 4, and every two cells make a region; cells of one and
+    the same component are not paired, so a large group costs only the outsiders in its lists.
     """
-    rooted = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = cut(_shingle_rows(rooted), "shingles")
-    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle", "often")
-    shared = rows.join(often, "shingle")
-    # Shingles of one component only come first in the order and link nothing: only their number counts.
-    by_node = Window.partitionBy("node")
-    shared = shared.withColumns({"at": F.row_number().over(by_node.orderBy("often", "shingle")), "shared": F.count(F.lit(1)).over(by_node)})
-    least = F.floor((F.col("size") * PERCENT + 99) / 100)
-    first = shared.where(F.col("at") + F.col("size") - F.col("shared") <= F.col("size") - least + 1)
-    first = cut(first.select("shingle", "node", "root"), "firsts")
+    first = cut(_first_shingles(sets, _frequency(sets)), "firsts")
     total = lambda seed: F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(38,0)"))
     lists = first.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), total(1).alias("t1"), total(2).alias("t2")).where("lo <> hi")
     # Equal lists have equal sums of hashes.
@@ -450,7 +578,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(lambda batches: releasing(run(batches)), "a bigint, b bigint")
 
 
-def _sets(df: DataFrame, id_col: str, text: str, wanted: DataFrame) -> DataFrame:
+def _sets(df: DataFrame, id_col: str, text: str, wanted: DataFrame, seed: int) -> DataFrame:
     """node, set for the documents (doc_id, node) that stand for their classes."""
 
     def run(batches: Iterator) -> Iterator:
@@ -458,8 +586,11 @@ def _sets(df: DataFrame, id_col: str, text: str, wanted: DataFrame) -> DataFrame
 
         hasher = _hasher()
         for b in batches:
-            rows = [hasher.words(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([sequence_hash(w) for w in rows], pa.int64()), pa.array([hasher.shingles(w).tobytes() for w in rows], pa.binary())], names=["node", "set"])
+            nodes, sets = [], []
+            for h in hasher.texts(b.column("text")):
+                nodes.append(sequence_hash(h, seed)[0])
+                sets.append(hasher.shingles(h).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
 
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     some = rows.join(wanted, F.coalesce(rows["doc_id"], F.lit(-1)) == wanted["stands"], "left_semi")
@@ -476,48 +607,54 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
+def _classes(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame, int]:
+    """Documents with their class, the classes, and the seed by which no two word sequences share a class."""
+    for seed in range(8):
+        docs = cut(signatures(df, id_col, text, seed), "signatures")
+        # One row for each class; copies combine before the shuffle.
+        some = F.first("sig").alias("sig"), F.first("sketch").alias("sketch")
+        classes = docs.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), *some, F.min("proof").alias("lo"), F.max("proof").alias("hi"))
+        classes = cut(classes, "classes")
+        if classes.where("lo <> hi").isEmpty():
+            return docs.select("doc_id", "node", "n_shingles"), classes.drop("lo", "hi"), seed
+    raise RuntimeError("word sequences share hashes under every seed: the hash does not work")
+
+
+def _several(rooted: DataFrame) -> DataFrame:
+    """The regions that have classes of several components."""
+    return cut(rooted.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region"), "several")
+
+
 def _grouped(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Documents with their class, and the component of each class (its smallest doc_id)."""
     bounded_batches(df.sparkSession)
-    docs = cut(signatures(df, id_col, text), "signatures")
-    # One row for each class; copies combine before the shuffle.
-    classes = docs.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.first("sig").alias("sig"))
-    classes = cut(classes, "classes")
+    docs, classes, seed = _classes(df, id_col, text)
     regions = cut(_regions(_labels(classes), REGION), "regions")
-    parted = cut(regions.where("region IS NULL").select("node").distinct(), "parted")
-    regions = regions.where("region IS NOT NULL")
-    sketch = _low_bytes(classes)
+    runs, regions = regions.where("parted").select("region", "node"), regions.where("NOT parted").select("region", "node")
+    sketch = classes.select("node", "sketch")
     pairs = cut(_likely_pairs(regions.join(sketch, "node")), "pairs")
     # Every class with a likely partner is in some pair; of the others, only those of cut runs have a part in what follows.
     involved = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "involved")
+    parted = runs.select("node").distinct()
     wanted = cut(involved.unionAll(parted).distinct().join(classes.select("node", F.coalesce("first", F.lit(-1)).alias("stands")), "node"), "wanted")
-    sets = cut(_sets(df, id_col, text, wanted), "sets")
+    sets = cut(_sets(df, id_col, text, wanted, seed), "sets")
     links = cut(_confirmed(_likeliest(pairs, 2), sets), "links")
     roots = cut(components(links), "roots")
-    rooted = regions.join(involved, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
-    open_ = cut(rooted.join(mixed, "region", "left_semi"), "open")
+    root = F.coalesce("root", "node").alias("root")
+    rooted = regions.join(involved, "node", "left_semi").join(roots, "node", "left").select("region", "node", root)
+    open_ = cut(rooted.join(_several(rooted), "region", "left_semi"), "open")
     more = cut(_rest(open_.join(sketch, "node").join(sets, "node")), "links")
-    lists = _rare_lists(sets.join(parted, "node", "left_semi"), roots, REGION)
-    exact = cut(_rest(lists.join(sets, "node"), whole=True), "links")
-    roots = cut(components(links.unionAll(more).unionAll(exact)), "roots")
-    rooted = classes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    return docs.select("doc_id", "node", "n_shingles"), rooted.join(firsts, "root").select("node", "component")
-
-
-def _low_bytes(classes: DataFrame) -> DataFrame:
-    """node, sketch: eight bits of each signature value."""
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        for b in batches:
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([r.tobytes() for r in sig], pa.binary())], names=["node", "sketch"])
-
-    return cut(classes.select("node", "sig").mapInArrow(lambda batches: releasing(run(batches)), "node bigint, sketch binary"), "sketches")
+    links = links.unionAll(more)
+    roots = cut(components(links), "roots") if not more.isEmpty() else roots
+    cut_runs = cut(runs.join(roots, "node", "left").select("region", "node", root), "runs")
+    apart = cut(cut_runs.join(_several(cut_runs), "region", "left_semi").select("node", "root").distinct(), "apart")
+    if not apart.isEmpty():
+        lists = _rare_lists(cut(sets.join(apart, "node"), "apart"), REGION)
+        links = links.unionAll(cut(_rest(lists.join(sets, "node"), whole=True), "links"))
+        roots = cut(components(links), "roots")
+    rooted = classes.join(roots, "node", "left").select("node", root, "first")
+    firsts = cut(rooted.groupBy("root").agg(F.min("first").alias("component")), "firsts")
+    return docs, rooted.join(firsts, "root").select("node", "component")
 
 
 def _likeliest(pairs: DataFrame, k: int) -> DataFrame:
