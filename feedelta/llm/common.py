@@ -15,9 +15,11 @@ BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all run on one machine."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='feedelta-')}"
         spark.conf.set("spark.checkpoint.dir", top)
     return top.rstrip("/")
@@ -27,11 +29,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again: later stages start from files that outlive any executor."""
-    path = new_path(df.sparkSession, name)
+    """Written to the shared folder and read again: later stages start from files that outlive any executor. The folder goes
+    with the driver, or earlier by `drop`."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, p = _hadoop(spark, path)
+    fs.deleteOnExit(p)
+    got = spark.read.schema(df.schema).parquet(path)
+    got._cut = path
+    return got
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes the files of cuts that no later plan reads."""
+    for df in frames:
+        fs, p = _hadoop(df.sparkSession, df._cut)
+        fs.delete(p, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:
