@@ -10,11 +10,12 @@ reached, inside a document if need be.
 Targets: shares by weight of all words (weights 1, 2, 3, repeating over the sources in code-point order, null last), at
 most REPEATS times a source's size, the excess shared again by weight until none is above.
 
-Scale: sources are summed once (a row for each source reaches the driver); running counts are offsets of hash ranges within a
-source plus a window inside each range, so a source with a third of all rows is spread over BUCKETS ranges.
+Scale: sources are summed once (a row for each source reaches the driver, at most SOURCES); running counts are offsets of
+hash ranges within a source plus a window inside each range, so a source with a third of all rows is spread over 4096
+ranges.
 
 Defined results: null and empty texts have size 0, take nothing and are not repeated; a source without words has target 0;
-documents with equal ids follow each other by size and text hash; a null id is ordered as the text "null"; extra columns
+documents with equal ids follow each other by size and text hash; null ids are ordered by the hash of the text; extra columns
 are ignored by `plan` and kept by `mix` (those that have a result's name are replaced); an empty table gives an empty one.
 """
 
@@ -25,11 +26,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedelta.llm.common import without, word_count
+from feedelta.llm.common import cut, without, word_count
 
 REPEATS = 3
-#: Hash ranges of a source: the first two hexadecimal digits of the MD5 of the id, and more for larger tables.
-DIGITS = 2
+#: Hash ranges of a source: the first hexadecimal digits of the MD5 of the id.
+DIGITS = 3
+#: Sources that a mix may have, and up to which their shares are broadcast (about 50 bytes each).
+SOURCES, BROADCAST_SOURCES = 1_000_000, 100_000
 #: Curriculum: later sources (by code point) come more and more to the end. Slopes by turn, each within -1..1.
 SLOPES = (-0.5, 0.0, 0.5)
 
@@ -78,20 +81,26 @@ def when(share: Column, slope: Column) -> Column:
 def plan(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, part, position (of the first copy), and the columns `keep`."""
     key, src, size = F.col(f"`{id_col}`"), F.col(f"`{source}`").cast("string"), word_count(F.col(f"`{text}`"))
-    order = F.md5(F.coalesce(key.cast("string"), F.lit("null")))
+    order = F.md5(F.coalesce(key.cast("string"), F.concat(F.lit("null"), F.xxhash64(F.col(f"`{text}`")).cast("string"))))
     sized = df.select(key.cast("bigint").alias("doc_id"), src.alias("src"), size.alias("size"), order.alias("h"), F.xxhash64(F.col(f"`{text}`")).alias("x"), *(F.col(f"`{c}`") for c in keep or []))
     sized = sized.withColumn("bucket", F.substring("h", 1, DIGITS))
-    sums = sized.groupBy("src", "bucket").agg(F.sum("size").alias("n"))
-    per_source = {r["src"]: r["n"] for r in sums.groupBy("src").agg(F.sum("n").alias("n")).collect()}
+    if not keep:
+        sized = cut(sized, "sizes")  # words are counted once
+    sums = cut(sized.groupBy("src", "bucket").agg(F.sum("size").alias("n")), "sums")
+    per_source = {r["src"]: r["n"] for r in sums.groupBy("src").agg(F.sum("n").alias("n")).limit(SOURCES + 1).collect()}
+    if len(per_source) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources to mix")
     shares = df.sparkSession.createDataFrame(
         [(s.source, s.size, s.target, s.slope) for s in targets(per_source)], "s_src string, source_size bigint, target double, slope double"
     )
+    if len(per_source) <= BROADCAST_SOURCES:
+        shares = F.broadcast(shares)
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sums.select(F.col("src").alias("o_src"), F.col("bucket").alias("o_bucket"), before.alias("offset"))
     w = Window.partitionBy("src", "bucket").orderBy("h", "size", "x").rowsBetween(Window.unboundedPreceding, -1)
     rows = sized.withColumn("within", F.coalesce(F.sum("size").over(w), F.lit(0)))
-    rows = rows.join(offsets, same("src", "o_src") & (F.col("bucket") == F.col("o_bucket"))).join(F.broadcast(shares), same("src", "s_src"))  # a row for each source
+    rows = rows.join(offsets, same("src", "o_src") & (F.col("bucket") == F.col("o_bucket"))).join(shares, same("src", "s_src"))
     rows = rows.withColumn("start", F.col("offset") + F.col("within"))
     # Whole words of the target; whole readings of the source; words of the last reading.
     words = F.floor("target").cast("bigint")
@@ -123,14 +132,17 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
     return rows.orderBy("position", "doc_id", "copy").select(*(F.col(v).alias(c) for c, v in at.items()), "position")
 
 
-#: DuckDB SQL for the plan's result columns over documents (ids unique and not null).
+#: DuckDB SQL for doc_id, size, source_size, target, taken, position over documents (ids unique and not null).
 SQL = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(doc_id::VARCHAR) AS h FROM documents),
  s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source),
  l AS (SELECT *, 3.0::DOUBLE * source_size AS lim, row_number() OVER (ORDER BY 3.0::DOUBLE * source_size / w, i) AS k FROM s),
  c AS (SELECT *, (SELECT sum(source_size) FROM s)::DOUBLE - coalesce(sum(lim) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(w) OVER (ORDER BY k DESC)::DOUBLE AS ow FROM l),
  f AS (SELECT min(k) AS k FROM c WHERE NOT lim < rest / ow * w),
  v AS (SELECT rest / ow AS level FROM c WHERE k = (SELECT k FROM f)),
- t AS (SELECT source, source_size, CASE WHEN (SELECT k FROM f) IS NULL OR k < (SELECT k FROM f) THEN lim ELSE (SELECT level FROM v) * w END AS target FROM c),
- r AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY h ROWS UNBOUNDED PRECEDING) - size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size * size
- + greatest(0, least(size, floor(target)::BIGINT % source_size - start)) ELSE 0 END)::BIGINT AS taken FROM r"""
+ t AS (SELECT source, source_size, ((w - 2) * 0.5)::DOUBLE AS slope, CASE WHEN (SELECT k FROM f) IS NULL OR k < (SELECT k FROM f) THEN lim ELSE (SELECT level FROM v) * w END AS target FROM c),
+ r AS (SELECT d.*, source_size, target, slope, sum(size) OVER (PARTITION BY d.source ORDER BY h ROWS UNBOUNDED PRECEDING) - size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+ n AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS copies FROM r),
+ p AS (SELECT *, CASE WHEN source_size > 0 THEN greatest(0, least(size, floor(target)::BIGINT % source_size - start)) ELSE 0 END AS part FROM n),
+ m AS (SELECT *, (start::DOUBLE + (CASE WHEN copies > 0 THEN size ELSE part END)::DOUBLE / 2.0::DOUBLE) / target AS due FROM p)
+SELECT doc_id, size, source_size, target, (copies * size + part)::BIGINT AS taken, CASE WHEN copies * size + part > 0 THEN CASE WHEN slope = 0 OR due = 0 THEN due
+ ELSE 2::DOUBLE * due / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4::DOUBLE * slope * due)) END END AS position FROM m"""
