@@ -24,6 +24,8 @@ MIN_SITES = 10
 LG_K = 12
 #: Estimates within so many standard errors of the threshold are settled exactly.
 ERRORS = 4
+#: Lines that may be broadcast (about 40 bytes each).
+BROADCAST_LINES = 500_000
 
 
 def trimmed(line: Column) -> Column:
@@ -37,14 +39,15 @@ def _hashes(line: Column) -> list[Column]:
 def spread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """h1, h2 of the lines that occur on at least min_sites sites. lines: h1, h2, site (not null)."""
     key = ["h1", "h2"]
-    # A line has no more sites than occurrences.
-    often = lines.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("site").alias("lo"), F.max("site").alias("hi"))
-    often = often.where((F.col("n") >= min_sites) & ((F.col("lo") != F.col("hi")) | F.lit(min_sites <= 1))).select(*key)
-    some = cut(lines.join(often, key, "left_semi").select(*key, "site"), "frequent-lines")
+    # A line's rows on one site become one row before anything is joined, so a line that is everywhere has a row for each site.
+    pairs = cut(lines.groupBy(*key, "site").agg(F.count(F.lit(1)).alias("n")), "line-sites")
+    # A line has no more sites than rows here.
+    often = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= min_sites).select(*key)
+    some = cut(pairs.join(cut(often, "often"), key, "left_semi").select(*key, "site"), "frequent-lines")
     sketched = some.groupBy(*key).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
     sketched = cut(sketched, "sketched")
     band = ERRORS * 1.04 / (2 ** (LG_K / 2)) * min_sites + 1
-    near = sketched.where(F.abs(F.col("sites") - min_sites) <= band).select(*key)
+    near = cut(sketched.where(F.abs(F.col("sites") - min_sites) <= band).select(*key), "near")
     exact = some.join(near, key, "left_semi").select(*key, "site").distinct().groupBy(*key).count().where(F.col("count") >= min_sites)
     return sketched.where(F.col("sites") > min_sites + band).select(*key).unionAll(exact.select(*key))
 
@@ -60,9 +63,11 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", site: str =
     rows = rows.withColumn("line", trimmed(F.col("line"))).where(F.col("line") != "")
     lines = cut(rows.select("id", "d", "site", "pos", *_hashes(F.col("line"))), "lines")
     common = cut(spread(lines.select("h1", "h2", "site"), min_sites), "boilerplate")
-    found = cut(lines.join(common, ["h1", "h2"], "left_semi"), "boilerplate-places")
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "d")).alias("f"))
-    later = found.join(first, ["h1", "h2"]).where(~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("d") == F.col("f.d"))))
+    # Boilerplate is few lines as a rule: up to a fixed number of them it is broadcast, beyond it both sides are shuffled.
+    few = F.broadcast if common.count() <= BROADCAST_LINES else lambda x: x
+    found = cut(lines.join(few(common), ["h1", "h2"], "left_semi"), "boilerplate-places")
+    first = cut(found.groupBy("h1", "h2").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "d")).alias("f")), "first-places")
+    later = found.join(few(first), ["h1", "h2"]).where(~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("d") == F.col("f.d"))))
     drops = later.groupBy(F.col("id").alias(rk), F.col("d").alias(rd)).agg(F.collect_set("pos").alias(gone))
     out = keyed.join(drops, F.col(key).eqNullSafe(F.col(rk)) & (F.col(digest) == F.col(rd)), "left")
     parts = F.split(t, "\n", -1)
