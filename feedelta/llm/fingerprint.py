@@ -124,7 +124,8 @@ def _forms_of_equal(df: DataFrame, id_col: str, text: str, done: DataFrame, wide
     """fingerprint, form of the documents whose digest another row has too; the texts of others are not read into a shuffle."""
     import pyarrow as pa
 
-    twice = done.groupBy("fingerprint").count().where("count > 1").select("fingerprint")
+    # Written first: a table joined with a table can be split where many documents have one digest.
+    twice = cut(done.groupBy("fingerprint").count().where("count > 1").select("fingerprint"), "repeated")
     members = cut(done.join(twice, "fingerprint", "left_semi").select(F.col("doc_id").alias("member")).distinct(), "members")
     # Broadcast only up to a fixed number of ids; beyond it both sides are shuffled.
     side = F.broadcast(members) if members.count() <= BROADCAST_IDS else members

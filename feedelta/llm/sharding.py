@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedelta.llm.common import fresh, without
+from feedelta.llm.common import cut, fresh, without
 
 ROUNDS = 4
 #: Ids that fill more than one range are dealt to as many parts.
@@ -97,6 +97,8 @@ def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text: str = "
     size, crc = F.octet_length(held).cast("bigint") + 1, F.crc32(held.cast("binary"))
     kept = without(df.select(*(f"`{c}`" for c in keep)) if keep else df, *results).columns
     sized = sized.select(*(F.col(f"`{c}`") for c in kept), key, row, size.alias("size"), crc.alias("text_crc32"))
+    if keep:
+        sized = cut(sized, "sizes")  # texts are read once
     rows, n = numbered(sized, [key, "size", "text_crc32", row], number)
     place = permuted(F.col(number), max(n, 1), seed)
     return (
