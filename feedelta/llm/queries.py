@@ -78,11 +78,14 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
-@register()
+@register(chat.SQL)
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+    """The conversations have no tool calls of their own: calls and results are added to all of them by rule."""
+    return chat.format_chats(chat.with_tools(_table(spark, sf_dir, "conversations")), chat.tool_schemas(spark, chat.REGISTRY))
 
 
 @register(mixing.SQL)
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """Sorted by training position; a document that the mix reads more than once stands at its first reading."""
+    got = mixing.plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
+    return got.orderBy(F.col("position").asc_nulls_last(), "doc_id")
