@@ -19,7 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters and those that no learned language explains."""
     got = language.predict(docs, language.train(docs))
-    return got.where((F.col("lang_pred") != language.UND) & (F.col("bits") <= language.FOREIGN_BITS)).select(*COLUMNS)
+    return got.where((F.col("lang_pred") != language.UND) & ~F.col("foreign")).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
