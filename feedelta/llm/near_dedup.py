@@ -38,7 +38,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedelta.llm.common import bounded_batches, cut, held_by_worker, releasing
+from feedelta.llm.common import bounded_batches, cut, drop, held_by_worker, releasing
 from feedelta.llm.components import components
 
 WORDS = 5
@@ -629,8 +629,8 @@ def _grouped(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFram
     """Documents with their class, and the component of each class (its smallest doc_id)."""
     bounded_batches(df.sparkSession)
     docs, classes, seed = _classes(df, id_col, text)
-    regions = cut(_regions(_labels(classes), REGION), "regions")
-    runs, regions = regions.where("parted").select("region", "node"), regions.where("NOT parted").select("region", "node")
+    found = cut(_regions(_labels(classes), REGION), "regions")
+    runs, regions = found.where("parted").select("region", "node"), found.where("NOT parted").select("region", "node")
     sketch = classes.select("node", "sketch")
     pairs = cut(_likely_pairs(regions.join(sketch, "node")), "pairs")
     # Every class with a likely partner is in some pair; of the others, only those of cut runs have a part in what follows.
@@ -647,11 +647,13 @@ def _grouped(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFram
     links = links.unionAll(more)
     roots = cut(components(links), "roots") if not more.isEmpty() else roots
     cut_runs = cut(runs.join(roots, "node", "left").select("region", "node", root), "runs")
+    drop(found, pairs, involved, wanted, open_)
     apart = cut(cut_runs.join(_several(cut_runs), "region", "left_semi").select("node", "root").distinct(), "apart")
     if not apart.isEmpty():
         lists = _rare_lists(cut(sets.join(apart, "node"), "apart"), REGION)
         links = links.unionAll(cut(_rest(lists.join(sets, "node"), whole=True), "links"))
         roots = cut(components(links), "roots")
+    drop(sets, cut_runs)
     rooted = classes.join(roots, "node", "left").select("node", root, "first")
     firsts = cut(rooted.groupBy("root").agg(F.min("first").alias("component")), "firsts")
     return docs, rooted.join(firsts, "root").select("node", "component")
@@ -669,3 +671,14 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFram
     got = near_duplicates(df, id_col, text)
     keep = got.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     return df.join(keep, F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("_kept_id")), "left_semi")
+
+
+#: DuckDB SQL for near_duplicates over documents (ids unique and not null); it joins all shingles with each other.
+SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i : i + 4], ' '))) END AS g FROM w),
+ x AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+ e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+ r AS (SELECT a AS doc_id, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id),
+ m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, coalesce(m.c, s.doc_id) AS component_id, coalesce(m.c, s.doc_id) = s.doc_id AS kept FROM s LEFT JOIN m ON s.doc_id = m.doc_id"""

@@ -55,14 +55,13 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(_table(spark, sf_dir, "documents"))
 
 
-@register()
+@register(warc.SQL)
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, directory = warc.archive(_table(spark, sf_dir, "pages"))
-    got = warc.read(warc.in_file_order(warc.captures(directory)), with_payload=False)
+    got = warc.round_trip(_table(spark, sf_dir, "pages"))
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@register()
+@register(near_dedup.SQL)
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 

@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 
 import corpus_pipeline
 from feedelta.llm import queries
@@ -24,7 +25,7 @@ def test_sql(spark):
         got, want = queries.QUERIES[name](spark, SF).toPandas(), con.execute(sql).df()
         cols = sorted(want.columns)
         assert sorted(got.columns) == cols, name
-        rows = lambda df: sorted((tuple(None if v != v else v for v in r) for r in df[cols].astype(object).itertuples(index=False, name=None)), key=str)  # noqa: E731, B023
+        rows = lambda df: sorted((tuple(None if pd.isna(v) else v for v in r) for r in df[cols].astype(object).itertuples(index=False, name=None)), key=str)  # noqa: E731, B023
         got, want = rows(got), rows(want)
         assert len(got) == len(want), name
         for x, y in zip(got, want, strict=True):
