@@ -45,7 +45,7 @@ def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
-@register()
+@register(sharding.SQL)
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), shards=16, keep=["doc_id"])
 

@@ -16,6 +16,7 @@ empty table gives an empty table. Input columns are kept except those that have
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from feedelta.llm.common import cut, fresh, without
 
 ROUNDS = 4
+#: The round function works modulo 2 ** 31 - 1, so halves are below that and tables below 2 ** 62 rows.
+PRIME = 2**31 - 1
 #: Ids that fill more than one range are dealt to as many parts.
 PARTS = 64
 
@@ -34,22 +37,38 @@ def dimensions(n: int) -> tuple[int, int]:
     return a, max(1, -(-n // a))
 
 
-def _mixed(x: Column, i: Column, half: int, seed: int, size: int) -> Column:
-    return F.pmod(F.xxhash64(x.cast("bigint"), i.cast("bigint"), F.lit(half).cast("bigint"), F.lit(seed).cast("bigint")), F.lit(size).cast("bigint"))
+def _constants(i: int, half: int, seed: int) -> list[int]:
+    """Six numbers below PRIME for one half of one round."""
+    raw = hashlib.sha256(f"{seed}/{i}/{half}".encode()).digest()
+    return [int.from_bytes(raw[k : k + 4], "big") % (PRIME - 1) + 1 for k in range(0, 24, 4)]
+
+
+def _keys(half: int, seed: int) -> Column:
+    """The constants of all rounds."""
+    return F.array(*(F.array(*(F.lit(c).cast("bigint") for c in _constants(i, half, seed))) for i in range(ROUNDS)))
+
+
+def _mixed(x: Column, k: Column, size: int) -> Column:
+    """Below size: two quadratic residues of x side by side. Nothing here leaves 62 bits."""
+    p, q = F.lit(PRIME).cast("bigint"), F.lit(PRIME).cast("bigint")
+    y, z = (x % p * k[0] + k[1]) % p, (x % p * k[2] + k[3]) % p
+    return (((y * y + k[4]) % p) * q + (z * z + k[5]) % q) % F.lit(size).cast("bigint")
 
 
 def permuted(number: Column, n: int, seed: int = 0) -> Column:
     """The place of a row number: a bijection of 0..n-1."""
     a, b = dimensions(n)
 
+    big = lambda v: F.lit(v).cast("bigint")
+
     def network(x: Column) -> Column:
         def round_(s: Column, i: Column) -> Column:
-            left = F.pmod(s["l"] + _mixed(s["r"], i, 0, seed, a), F.lit(a).cast("bigint"))
+            left = (s["l"] + _mixed(s["r"], F.get(_keys(0, seed), i), a)) % big(a)
             # The new left half is a lambda's variable, so that it is computed once.
-            return F.aggregate(F.array(left), s, lambda t, new: F.struct(new.alias("l"), F.pmod(t["r"] + _mixed(new, i, 1, seed, b), F.lit(b).cast("bigint")).alias("r")))
+            return F.aggregate(F.array(left), s, lambda t, new: F.struct(new.alias("l"), ((t["r"] + _mixed(new, F.get(_keys(1, seed), i), b)) % big(b)).alias("r")))
 
-        first = F.struct(((x - F.pmod(x, F.lit(b).cast("bigint"))) / F.lit(b)).cast("bigint").alias("l"), F.pmod(x, F.lit(b).cast("bigint")).alias("r"))
-        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), first, round_, lambda s: s["l"] * F.lit(b).cast("bigint") + s["r"])
+        first = F.struct(((x - x % big(b)) / big(b)).cast("bigint").alias("l"), (x % big(b)).alias("r"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), first, round_, lambda s: s["l"] * big(b) + s["r"])
 
     # At most a * b - n places lie outside, so a walk has no more steps; with many rows a step fails with chance below 1 / b.
     steps = min(a * b - n, 64)
@@ -116,3 +135,28 @@ def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text: str = "
 def write(df: DataFrame, path: str) -> None:
     """A folder for each shard, rows in slot order."""
     df.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def _network_sql(x: str, seed: int) -> str:
+    """The place of x by the same rounds, from a query with doc_id, x and the dimensions a, b, n."""
+
+    def mixed(v: str, i: int, half: int, size: str) -> str:
+        c = _constants(i, half, seed)
+        part = lambda m, add, plus: f"((({v} % {PRIME} * {m} + {add}) % {PRIME}) * (({v} % {PRIME} * {m} + {add}) % {PRIME}) + {plus}) % {PRIME}"
+        return f"((({part(c[0], c[1], c[4])}) * {PRIME} + ({part(c[2], c[3], c[5])})) % {size})"
+
+    q = f"SELECT doc_id, n, a, b, x // b AS l, x % b AS r FROM ({x})"
+    for i in range(ROUNDS):
+        q = f"SELECT doc_id, n, a, b, (l + {mixed('r', i, 0, 'a')}) % a AS l, r FROM ({q})"
+        q = f"SELECT doc_id, n, a, b, l, (r + {mixed('l', i, 1, 'b')}) % b AS r FROM ({q})"
+    return f"SELECT doc_id, n, a, b, l * b + r AS x FROM ({q})"
+
+
+#: DuckDB SQL for doc_id, size, text_crc32, law, shard, slot, grown_shard over documents (ids unique and not null), 16 shards.
+#: The checksum is that of the table-driven rule for the polynomial 0xEDB88320, byte by byte.
+SQL = f"""WITH RECURSIVE c AS (SELECT list(v ORDER BY i) AS tbl FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+ d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::BIGINT)), lambda c, x: xor(c >> 8, tbl[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM documents, c),
+ m AS (SELECT n, a, greatest(1, (n + a - 1) // a) AS b FROM (SELECT n, greatest(1, floor(sqrt(greatest(n - 1, 0)))::BIGINT + 1) AS a FROM (SELECT count(*) AS n FROM documents))),
+ x AS (SELECT doc_id, n, a, b, row_number() OVER (ORDER BY doc_id) - 1 AS x FROM documents, m),
+ w AS ({_network_sql("SELECT * FROM x", 0)} UNION ALL {_network_sql("SELECT * FROM w WHERE x >= n", 0)})
+SELECT d.doc_id, size, text_crc32, 'rows' AS law, (x % 16)::INT AS shard, (x // 16)::BIGINT AS slot, NULL::INT AS grown_shard FROM d JOIN w ON d.doc_id = w.doc_id AND x < n"""

@@ -57,6 +57,15 @@ def test_permutation_is_a_bijection(spark):
         assert sorted(places) == list(range(n))
 
 
+def test_places_are_spread(spark):
+    n = 20_000
+    places = np.array([r[0] for r in spark.range(n).select(sharding.permuted(F.col("id"), n)).collect()])
+    # Neighbours don't stay together, and every tenth of the rows falls evenly on 16 shards.
+    assert abs(np.corrcoef(np.arange(n), places)[0, 1]) < 0.03 and (np.abs(np.diff(places)) < 100).mean() < 0.03
+    for part in np.split(places % 16, 10):
+        assert np.abs(np.bincount(part, minlength=16) - n / 160).max() < 60
+
+
 def test_shards(docs, no_docs):
     got = sharding.shard(docs, shards=3).collect()
     assert len(got) == 10
