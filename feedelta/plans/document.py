@@ -8,17 +8,27 @@ from datetime import datetime
 from feedelta.plans import planning, registry
 
 
+# The fields of the document, in its order.
+STATS_FIELDS = [
+    "total_rows_base",
+    "total_rows_new",
+    "columns_added_count",
+    "columns_deleted_count",
+    "rows_added_count",
+    "rows_deleted_count",
+    "rows_modified_count",
+    "rows_changed_percentage",
+    "column_stats",
+]
+FILE_FIELDS = ["not_compared_reason", "ignored_columns", "columns_added", "columns_deleted", "row_changes", "truncated", "stats"]
+
+
 def _stats(**known) -> dict:
-    names = (
-        "total_rows_base total_rows_new columns_added_count columns_deleted_count rows_added_count rows_deleted_count "
-        "rows_modified_count rows_changed_percentage column_stats"
-    ).split()
-    return {n: known.get(n) for n in names}
+    return {n: known.get(n) for n in STATS_FIELDS}
 
 
 def _file(name: str, action: str, **known) -> dict:
-    names = "not_compared_reason ignored_columns columns_added columns_deleted row_changes truncated stats".split()
-    return {"file_name": name, "file_action": action} | {n: known.get(n) for n in names}
+    return {"file_name": name, "file_action": action} | {n: known.get(n) for n in FILE_FIELDS}
 
 
 def one_sided(name: str, action: str, headers: list[str]) -> dict:
