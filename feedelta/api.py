@@ -6,12 +6,15 @@ from concurrent.futures import ThreadPoolExecutor
 from contextlib import ExitStack
 from datetime import UTC, datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from feedelta.operators import changes
+from feedelta.operators import compare
 from feedelta.operators import gate as gates
+from feedelta.operators.gate import key_names
 from feedelta.operators.table import Table
 from feedelta.plans import document, planning, registry
+from feedelta.session import Scratch, shared_local_dir, step
 from feedelta.sources.feeds import open_feed
 from feedelta.sources.tables import read_table
 
@@ -47,52 +50,56 @@ class _Pair:
         elif self.explicit:
             self.reason = planning.churn_reason(c["total_base"], c["total_new"], c["common"], threshold, key)
 
-    def diff(self, not_compared: dict[str, str], cap: int | None, column_stats: bool) -> dict:
+    def diff(self, not_compared: dict[str, str], cap: int | None, column_stats: bool, keep: Scratch, rows_to: str | None = None) -> dict:
+        """The file's entry. Both sides are joined once: without rows for their counts, otherwise the changed rows are kept."""
         if self.reason:
             return document.not_compared(self.name, self.reason, self.added, self.deleted, self.counts["total_base"], self.counts["total_new"])
         b, n, key = self.base, self.new, self.key
         ignored = planning.ignored_columns(self.name, b.headers, n.headers, key, not_compared)
         shared = planning.shared_columns(b.headers, n.headers, [x["column"] for x in ignored])
-        got = changes.change_counts(b, n, key, shared).first().asDict()
-        counts = self.counts | {
-            "added": self.counts["total_new"] - self.counts["common"],
-            "deleted": self.counts["total_base"] - self.counts["common"],
-            "modified": got["modified"],
-            "by_column": {c: got[f"m{i}"] for i, c in enumerate(shared)},
-        }
-        rows = None if cap == 0 else self._rows(shared, counts, cap)
+        rows = compare.compared(b, n, key, shared, self.union)
+        if cap != 0:
+            rows = keep(rows)
+        got = compare.counts(rows, shared).first().asDict()
+        counts = self.counts | {k: got[k] for k in ("added", "deleted", "modified")} | {"by_column": {c: got[f"m{i}"] for i, c in enumerate(shared)}}
+        if rows_to is not None:
+            as_rows(rows, key).write.json(f"{rows_to}/{self.name}")
+            lists = None
+        else:
+            lists = None if cap == 0 else self._rows(rows, counts, cap)
         return document.modified(
             self.name, key=key, union=self.union, columns_added=self.added, columns_deleted=self.deleted, ignored=ignored,
-            counts=counts, rows=rows, cap=cap, with_column_stats=column_stats,
+            counts=counts, rows=lists, cap=cap, with_column_stats=column_stats,
         )
 
-    def _rows(self, shared: list[str], counts: dict, cap: int | None) -> dict:
+    def _rows(self, rows: DataFrame, counts: dict, cap: int | None) -> dict:
         """Row lists by line. Kinds without rows start no job; rows arrive partition by partition."""
-        b, n, key = self.base, self.new, self.key
         limits = planning.split_cap(cap, counts["added"], counts["deleted"], counts["modified"])
-        limit = lambda i: limits[i] if cap is not None else None
-        ident = lambda r: {c: r[f"k{i}"] for i, c in enumerate(key)}
-        out: dict = {"added": [], "deleted": [], "modified": []}
-        if limits[0]:
-            for r in changes.earliest(changes.added(b, n, key, self.union), "line", limit(0)).toLocalIterator():
-                out["added"].append({"identifier": ident(r), "raw_value": r["raw_value"], "new_line_number": r["line"]})
-        if limits[1]:
-            for r in changes.earliest(changes.deleted(b, n, key, self.union), "line", limit(1)).toLocalIterator():
-                out["deleted"].append({"identifier": ident(r), "raw_value": r["raw_value"], "base_line_number": r["line"]})
-        if limits[2]:
-            for r in changes.earliest(changes.modified(b, n, key, shared, self.union), "b_line", limit(2)).toLocalIterator():
-                out["modified"].append({
-                    "identifier": ident(r), "raw_value": r["raw_value"], "base_line_number": r["b_line"], "new_line_number": r["n_line"],
-                    "field_changes": [x.asDict() for x in r["field_changes"]],
-                })
+        out: dict = {}
+        for kind, limit in zip(("added", "deleted", "modified"), limits, strict=True):
+            found = compare.listed(rows, kind, limit if cap is not None else None)
+            out[kind] = [self._entry(kind, r) for r in found.toLocalIterator()] if limit else []
         return out
 
+    def _entry(self, kind: str, r) -> dict:
+        lines = {"base_line_number": r["b_line"], "new_line_number": r["n_line"]}
+        entry = {"identifier": {c: r[f"k{i}"] for i, c in enumerate(self.key)}, "raw_value": r["raw_value"]} | {k: v for k, v in lines.items() if v is not None}
+        return entry | {"field_changes": [x.asDict() for x in r["field_changes"]]} if kind == "modified" else entry
+
+
+def as_rows(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Changed rows with the fields of the document's row lists, to be written by Spark: change, identifier, raw_value,
+    base_line_number, new_line_number, field_changes."""
+    identifier = F.struct(*(F.col(k).alias(c) for c, k in zip(key, key_names(key), strict=True)))
+    return rows.select("change", identifier.alias("identifier"), "raw_value", F.col("b_line").alias("base_line_number"), F.col("n_line").alias("new_line_number"), F.when(F.col("change") == "modified", F.col("field_changes")).alias("field_changes"))
+
 
 def diff_tables(base: Table, new: Table, key: list[str], *, name: str = "table", optional=(), cap: int | None = None, churn_threshold: float = registry.CHURN_THRESHOLD, not_compared: dict[str, str] | None = None, column_stats: bool = True) -> dict:
     """The file entry of the document for one pair of tables; an empty key means all base columns."""
     pair = _Pair(name, base, new, list(key), bool(key), optional)
-    pair.run_gate(churn_threshold)
-    return pair.diff(not_compared or {}, cap, column_stats)
+    with Scratch(base.df.sparkSession) as keep:
+        pair.run_gate(churn_threshold)
+        return pair.diff(not_compared or {}, cap, column_stats, keep)
 
 
 def diff_feeds(
@@ -109,9 +116,14 @@ def diff_feeds(
     reader: str = "strict",
     staging: str | None = None,
     parallel_files: int = 4,
+    rows_to: str | None = None,
 ) -> dict:
     """Compare two feeds.
 
+    Every table is scanned once, into the shared folder. With `rows_to` all changed rows are written there by Spark, a folder
+    of JSON lines for each file, and the document has counts only; otherwise they become lists in the document.
+
+
     Key gates of all files run first, several at a time, because they do not depend on each other; only the field scan of
     a child has to know whether its parents were compared. `reader` is "strict", "native" (Spark's CSV scan, quoted line
     breaks allowed) or "native_split" (as native, splittable, no line breaks inside quotes).
@@ -125,6 +137,8 @@ def diff_feeds(
         if at.tzinfo is None:
             raise ValueError(f"{side}_downloaded_at needs a time zone")
     with ExitStack() as stack:
+        keep = stack.enter_context(Scratch(spark))
+        staging = staging or shared_local_dir(spark)
         base = stack.enter_context(open_feed(base_path, files, staging))
         new = stack.enter_context(open_feed(new_path, files, staging))
         names = sorted(base.keys() | new.keys())
@@ -135,13 +149,24 @@ def diff_feeds(
             if key is None:
                 unsupported.append({"file_name": name, "present_in": sides})
             elif sides == "both":
-                pairs[name] = _Pair(name, read_table(spark, base[name], reader), read_table(spark, new[name], reader), key, bool(key), registry.optional_key_columns(name))
+                with step(spark, f"{name}: scan"):
+                    tables = [Table(t.headers, keep(t.df)) for t in (read_table(spark, side[name], reader) for side in (base, new))]
+                pairs[name] = _Pair(name, *tables, key, bool(key), registry.optional_key_columns(name))
             else:
                 action, where = ("added", new) if sides == "new" else ("deleted", base)
                 diffs.append(document.one_sided(name, action, where[name].headers))
         with ThreadPoolExecutor(max(1, parallel_files)) as pool:
-            list(pool.map(lambda p: p.run_gate(registry.churn_threshold(p.name, id_churn_threshold, id_churn_thresholds)), pairs.values()))
+
+            def gate(pair: _Pair) -> None:
+                with step(spark, f"{pair.name}: key gate"):
+                    pair.run_gate(registry.churn_threshold(pair.name, id_churn_threshold, id_churn_thresholds))
+
+            def diff(name: str) -> dict:
+                with step(spark, f"{name}: changes"):
+                    return pairs[name].diff(untrusted, cap, column_stats, keep, rows_to)
+
+            list(pool.map(gate, pairs.values()))
             untrusted = {n: p.reason["code"] for n, p in pairs.items() if p.reason}
             order = planning.processing_order(pairs)
-            diffs += pool.map(lambda n: pairs[n].diff(untrusted, cap, column_stats), order)
+            diffs += pool.map(diff, order)
         return document.assemble(diffs, cap=cap, base=(str(base_path), when["base"]), new=(str(new_path), when["new"]), generated_at=now, unsupported=unsupported)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import os
 import sys
 from datetime import datetime
@@ -25,6 +26,8 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--id-churn-threshold-for", nargs=2, action="append", default=[], metavar=("FILE", "RATIO"))
     p.add_argument("--column-stats", action=argparse.BooleanOptionalAction, default=True)
     p.add_argument("--reader", choices=("strict", "native", "native_split"), default="strict")
+    p.add_argument("--rows-to", help="folder for all changed rows as JSON lines, written by Spark; the document has counts only")
+    p.add_argument("--trace", action="store_true", help="log each step with its seconds and memory to standard error")
     p.add_argument("--version", action="version", version=__version__)
     return p
 
@@ -49,6 +52,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     except ValueError as e:
         return _fail(e)
     files = None if args.files is None else [f.strip() for f in args.files.split(",") if f.strip()]
+    if args.trace:
+        logging.basicConfig(stream=sys.stderr, format="%(asctime)s %(message)s")
+        logging.getLogger("feedelta").setLevel(logging.INFO)
     try:
         from feedelta.api import diff_feeds
         from feedelta.plans.document import to_json
@@ -56,7 +62,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
         doc = diff_feeds(
             spark or session(), args.base_feed, args.new_feed, args.cap, id_churn_threshold=args.id_churn_threshold,
-            id_churn_thresholds=overrides, files=files, column_stats=args.column_stats, reader=args.reader, **when,
+            id_churn_thresholds=overrides, files=files, column_stats=args.column_stats, reader=args.reader, rows_to=args.rows_to, **when,
         )
         text = to_json(doc, pretty=args.pretty)
         if args.output:

@@ -2,71 +2,21 @@
 
 Two readers give the same rows for ordinary files:
 
-* strict - a Python data source (one partition for each file) with the record rules of Python's csv module: blank lines
-  are rows, text after a closing quote is kept, short rows are padded, long rows are cut, line breaks are normalised;
+* strict - the record rules of Python's csv module in byte ranges of a file, see `feedelta.sources.strict`;
 * native - Spark's own CSV scan. Without line breaks inside quotes it splits a file over many tasks. It drops blank
   lines and treats text after a closing quote literally.
 """
 
 from __future__ import annotations
 
-import csv
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from feedelta.operators.table import Table
+from feedelta.sources import strict
 from feedelta.sources.feeds import FeedFile
 
-BATCH = 10_000
-
-
-def table_schema(headers: list[str]) -> StructType:
-    return StructType([StructField("line", LongType(), False), *(StructField(f"c{i}", StringType(), False) for i in range(len(headers)))])
-
-
-class StrictCsv(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "strict_csv"
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _StrictReader(self.options["path"], schema)
-
-
-class _StrictReader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType):
-        self.path, self.width, self.schema = path, len(schema.fields) - 1, schema
-
-    def partitions(self):
-        return [InputPartition(self.path)]
-
-    def read(self, partition):
-        import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        width, schema = self.width, to_arrow_schema(self.schema)
-        csv.field_size_limit(2**31 - 1)
-
-        def batch(lines, rows):
-            cols = [pa.array(lines, pa.int64()), *(pa.array([r[i] for r in rows], pa.string()) for i in range(width))]
-            return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
-
-        with open(partition.value, encoding="utf-8-sig", newline=None) as f:
-            records = csv.reader(f)
-            next(records, None)
-            lines, rows = [], []
-            for line, row in enumerate(records, 2):
-                lines.append(line)
-                rows.append((row + [""] * (width - len(row)))[:width])
-                if len(rows) == BATCH:
-                    yield batch(lines, rows)
-                    lines, rows = [], []
-            if rows:
-                yield batch(lines, rows)
-
 
 def numbered(df: DataFrame) -> DataFrame:
     """Adds `line`: the place in scan order plus 2, from per-partition counts; no global sort or window."""
@@ -96,13 +46,12 @@ def read_native(spark: SparkSession, path: str, headers: list[str], multi_line:
 
 
 def read_strict(spark: SparkSession, path: str, headers: list[str]) -> Table:
-    spark.dataSource.register(StrictCsv)
-    return Table(headers, spark.read.format("strict_csv").schema(table_schema(headers)).option("path", path).load())
+    return Table(headers, strict.scan(spark, path, headers))
 
 
 def read_table(spark: SparkSession, file: FeedFile, reader: str = "strict") -> Table:
     if not file.headers:
-        return Table([], spark.createDataFrame([], table_schema([])))
+        return Table([], spark.createDataFrame([], strict.table_schema([])))
     if reader == "strict":
         return read_strict(spark, file.path, file.headers)
     return read_native(spark, file.path, file.headers, multi_line=reader != "native_split")

@@ -206,6 +206,43 @@ def test_cli(spark, tmp_path, capsys):
     assert main([b, n, "--id-churn-threshold", "2"], spark) == 1
 
 
+def test_rows_can_be_written_by_spark(spark, tmp_path):
+    b, n = folder(tmp_path, "b", {"stops.txt": STOPS}), folder(tmp_path, "n", {"stops.txt": STOPS.replace("Beta", "Bravo") + "S9,Nine,9\n"})
+    d = only(diff_feeds(spark, b, n, rows_to=f"file://{tmp_path}/rows"))
+    assert d["row_changes"] is None and d["stats"]["rows_added_count"] == d["stats"]["rows_modified_count"] == 1
+    got = {r.change: r for r in spark.read.json(f"file://{tmp_path}/rows/stops.txt").collect()}
+    assert got["added"].raw_value == "S9,Nine,9" and got["added"].new_line_number == 5
+    assert got["modified"].field_changes[0].new_value == "Bravo" and got["modified"].identifier.stop_id == "S2"
+
+
+def test_steps_are_traced(spark, tmp_path, caplog):
+    import logging
+
+    with caplog.at_level(logging.INFO, "feedelta"):
+        diff_feeds(spark, folder(tmp_path, "b", {"stops.txt": STOPS}), folder(tmp_path, "n", {"stops.txt": STOPS}))
+    assert any("stops.txt: key gate" in m and "MB" in m for m in caplog.messages)
+
+
+def test_server_errors_are_raised_and_refusals_mean_absent(monkeypatch):
+    import urllib.error
+
+    def says(head, get):
+        def answer(request, timeout):
+            code = head if request.method == "HEAD" else get
+            raise urllib.error.HTTPError(request.full_url, code, "", {}, None)
+
+        monkeypatch.setattr(feeds.urllib.request, "urlopen", answer)
+
+    for head, get in ((404, None), (410, None), (403, 403), (405, 404), (501, 401)):
+        says(head, get)
+        assert not feeds.url_exists("http://x/y")
+    for head, get in ((500, None), (403, 503)):
+        says(head, get)
+        with pytest.raises(urllib.error.HTTPError):
+            feeds.url_exists("http://x/y")
+        assert feeds.url_size("http://x/y") is None
+
+
 def test_staging_is_removed(tmp_path):
     z = tmp_path / "f.zip"
     with zipfile.ZipFile(z, "w") as f:
