@@ -10,12 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedelta import feed_queries
 from feedelta.functions.csvtext import csv_line
 from feedelta.functions.equality import differs
-from feedelta.operators import changes
+from feedelta.operators import changes, compare
 from feedelta.operators import gate as gates
 from feedelta.operators.table import Table
 from feedelta.plans import planning, registry
+from feedelta.session import Scratch
 
 # --- base/new pairs ---------------------------------------------------------------------------------------------------
 
@@ -375,17 +377,26 @@ _DEL = "SELECT line, o_orderkey FROM b WHERE NOT EXISTS (SELECT 1 FROM n WHERE b
 def capped_rows(spark, sf):
     """A cap of 20 over three kinds with more rows each: 7, 7 and 6, the earliest lines."""
     b, n = _orders(spark, sf)
-    g = gates.gate(b, n, ORDERS_KEY).first()
     shared = planning.shared_columns(b.headers, n.headers)
-    m = changes.change_counts(b, n, ORDERS_KEY, shared).first().modified
-    limits = planning.split_cap(CAP, g.total_new - g.common, g.total_base - g.common, m)
-    kinds = [
-        ("added", changes.added(b, n, ORDERS_KEY, b.headers), "line"),
-        ("deleted", changes.deleted(b, n, ORDERS_KEY, b.headers), "line"),
-        ("modified", changes.modified(b, n, ORDERS_KEY, shared), "b_line"),
-    ]
-    parts = [changes.earliest(df, by, k).select(F.lit(kind).alias("change"), F.col(by).alias("line"), F.col("k0").alias("o_orderkey")) for (kind, df, by), k in zip(kinds, limits, strict=True)]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+    with Scratch(spark) as keep:
+        rows = keep(compare.compared(b, n, ORDERS_KEY, shared, b.headers).select("change", "b_line", "n_line", "k0", *(f"d{i}" for i in range(len(shared)))))
+        got = compare.counts(rows, shared).first()
+        limits = planning.split_cap(CAP, got.added, got.deleted, got.modified)
+        line = F.coalesce("b_line", "n_line").alias("line")
+        # At most CAP rows.
+        parts = [r for kind, k in zip(("added", "deleted", "modified"), limits, strict=True) for r in compare.listed(rows, kind, k).select("change", line, F.col("k0").alias("o_orderkey")).collect()]
+    return spark.createDataFrame(parts, "change string, line bigint, o_orderkey string")
+
+
+@query(_OPAIR + f"""SELECT CASE WHEN b.line IS NULL THEN 'added' WHEN n.line IS NULL THEN 'deleted' ELSE 'modified' END AS change, coalesce(b.o_orderkey, n.o_orderkey) AS o_orderkey, b.line AS b_line, n.line AS n_line,
+ coalesce({_PRICE}, false) AS price, coalesce({_PRIO}, false) AS priority FROM b FULL JOIN n ON b.o_orderkey = n.o_orderkey WHERE b.line IS NULL OR n.line IS NULL OR {_PRICE} OR {_PRIO}""")
+def fused_comparison(spark, sf):
+    """Added, deleted and modified rows from one join."""
+    b, n = _orders(spark, sf)
+    shared = planning.shared_columns(b.headers, n.headers)
+    rows = compare.compared(b, n, ORDERS_KEY, shared, planning.column_changes(b.headers, n.headers)[2])
+    flag = lambda c: F.col(f"d{shared.index(c)}")
+    return rows.select("change", F.col("k0").alias("o_orderkey"), "b_line", "n_line", flag("o_totalprice").alias("price"), flag("o_orderpriority").alias("priority"))
 
 
 @query(_OPAIR + f"SELECT true AS is_truncated, (SELECT count(*) FROM ({_ADD})) + (SELECT count(*) FROM ({_DEL})) + (SELECT count(*) FROM ({_MOD})) - {CAP} AS omitted_count")
@@ -444,11 +455,11 @@ def total_changes(spark, sf):
 
 def _staging(spark: SparkSession) -> str:
     """A folder that driver and executors share."""
-    import tempfile
     import uuid
 
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/feedelta"
-    return f"{top.rstrip('/')}/csv-{uuid.uuid4().hex}"
+    from feedelta.session import shared_dir
+
+    return f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
 
 
 def _as_csv(spark: SparkSession, df: DataFrame, header: list[str]) -> DataFrame:
@@ -482,3 +493,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
         s = d["stats"]
         rows.append((d["file_name"], d["file_action"], (d["not_compared_reason"] or {}).get("code"), s["total_rows_base"], s["total_rows_new"], s["rows_added_count"], s["rows_deleted_count"], s["rows_modified_count"], s["rows_changed_percentage"]))
     return spark.createDataFrame(rows, "file_name string, status string, reason string, total_rows_base bigint, total_rows_new bigint, rows_added bigint, rows_deleted bigint, rows_modified bigint, rows_changed_percentage double")
+
+
+Q |= feed_queries.Q
+O |= feed_queries.O
