@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next stage's docs.
 All but the last return the columns of documents.
+
+Nulls, ties and repeats by stage: language ID rejects null texts and texts without letters; line dedup keeps a text of which
+every line goes as an empty one; near-dedup keeps empty texts and rows with a null id that are alone in their group, and all
+rows that repeat a kept id; mixing takes empty texts no more and reads documents with equal ids one after the other; BPE
+gives a null or empty text no tokens. An empty table goes through all stages. Columns that are not those of documents are
+dropped, whatever their names.
 """
 
 from __future__ import annotations
