@@ -33,7 +33,7 @@ from pyspark.sql.types import StructType
 from feedelta.llm.common import bounded_batches, held_by_worker, releasing, without
 
 SAMPLE_DOCS, TRAIN_CHARS, LONGEST, LANGUAGES = 300, 40_000, 20_000, 500
-BLOCK = 256
+BLOCK = 512
 #: Bits a letter, and bits for the text as a whole, beyond which no learned language explains a text (the pipeline rejects it).
 #: Held-out documents of sf0.1 have 2.9 bits a letter in the median, 5.1 at the 99.9th percentile and 6.7 at most (48 letters);
 #: Italian, Finnish, Polish and Turkish, none of them learned, have 7.4 to 8.9 there.
@@ -93,7 +93,8 @@ def _automaton(text: list[int], width: int):
                     nxt[p][c] = twin
                     p = link[p]
         last = new
-    table = np.zeros((len(nxt), width), np.int32)
+    # Small numbers keep more of the table in the processor's caches.
+    table = np.zeros((len(nxt), width), np.uint16 if len(nxt) < 1 << 16 else np.int32)
     for s, row in enumerate(nxt):
         for c, t in row.items():
             table[s, c] = t
@@ -135,50 +136,58 @@ class Parser:
         nth = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         at = (np.cumsum(n) - n)[text] + nth * BLOCK
         size = np.minimum(BLOCK, n[text] - nth * BLOCK)
-        out = np.zeros((len(texts), len(self.model.langs)), np.int64)
+        out, codes = np.zeros((len(texts), len(self.model.langs)), np.int64), codes.astype(np.int64)
         for k, table in enumerate(self.model.tables):
             out[:, k] = np.bincount(text, weights=self._phrases(table, codes, at, size, nth), minlength=len(texts))
         return out, np.bincount(owner[codes != 1], minlength=len(texts))
 
-    def _step(self, table, state, c):
+    def _step(self, flat, width, state, c):
         """The states after characters c, and where a phrase begins: no longer phrase goes on, or an unknown letter came before."""
-        np = self.np
-        to = table.ravel()[state * table.shape[1] + c]
-        begins = (to == 0) | (state == 0)
-        again = np.flatnonzero(to == 0)
-        to[again] = table[0, c[again]]
+        to = flat[state * width + c].astype(self.np.int64)
+        none = to == 0
+        begins = none | (state == 0)
+        again = self.np.flatnonzero(none)
+        to[again] = flat[c[again]]
         return to, begins
 
     def _phrases(self, table, codes, at, size, nth):
         """Phrases that begin in each block."""
         np = self.np
+        flat, width = table.ravel(), table.shape[1]
         order = np.argsort(-size, kind="stable")
         live = np.searchsorted(-size[order], -np.arange(1, BLOCK + 1), side="right")  # blocks that have a character t
-        state, begun = np.zeros(len(at), np.int64), np.zeros((BLOCK, len(at)), bool)
-        for t in range(BLOCK):
-            some = order[: live[t]]
-            if not len(some):
+        # In this order, the blocks that have a character t are the first live[t].
+        state, begun, first = np.zeros(len(at), np.int64), np.zeros((BLOCK, len(at)), bool), at[order]
+        for t, m in enumerate(live.tolist()):
+            if not m:
                 break
-            state[some], begun[t, some] = self._step(table, state[some], codes[at[some] + t].astype(np.int64))
+            state[:m], begun[t, :m] = self._step(flat, width, state[:m], codes[first[:m] + t])
+        place = np.empty(len(at), np.int64)
+        place[order] = np.arange(len(at))
         upto = np.cumsum(begun, axis=0, dtype=np.int16)
-        phrases = upto[-1].astype(np.int64) if len(at) else np.zeros(0, np.int64)
-        every, end = phrases.copy(), state
-        todo = np.flatnonzero(nth > 0)
+        every = upto[-1, place].astype(np.int64) if len(at) else np.zeros(0, np.int64)
+        phrases, meant = every.copy(), state[place]
+        end, todo = meant, np.flatnonzero(nth > 0)
         while len(todo):
             block, s, own, t = todo, end[todo - 1], np.zeros(len(todo), np.int64), 0
-            after = end[todo]
-            row = np.arange(len(todo))
+            after, row = end[todo], np.arange(len(todo))
             while len(block):
-                to, begins = self._step(table, s, codes[at[block] + t].astype(np.int64))
-                met = begins & begun[t, block]
+                to, begins = self._step(flat, width, s, codes[at[block] + t])
                 own += begins
-                phrases[block[met]] = own[met] + every[block[met]] - upto[t, block[met]]
-                after[row[met]] = state[block[met]]
-                over = ~met & (size[block] == t + 1)
-                phrases[block[over]] = own[over]
-                after[row[over]] = to[over]
-                left = ~(met | over)
-                block, s, own, row, t = block[left], to[left], own[left], row[left], t + 1
+                met = begins & begun[t, place[block]]
+                over = size[block] == t + 1
+                over &= ~met
+                if met.any() or over.any():
+                    b = block[met]
+                    phrases[b] = own[met] + every[b] - upto[t, place[b]]
+                    after[row[met]] = meant[b]
+                    phrases[block[over]] = own[over]
+                    after[row[over]] = to[over]
+                    left = ~(met | over)
+                    block, s, own, row = block[left], to[left], own[left], row[left]
+                else:
+                    s = to
+                t += 1
             new = after != end[todo]
             end = end.copy()
             end[todo] = after
