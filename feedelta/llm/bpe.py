@@ -26,7 +26,7 @@ from feedelta.llm.common import bounded_batches, held_by_worker, releasing, with
 #: The last character of a word is moved up by this much, so "ends a word" is part of the alphabet.
 END = 0x1000
 #: Entries of a generation of a Python worker's cache of words; the cache of pairs is emptied when it has as many.
-WORD_CACHE, PAIR_CACHE = 200_000, 250_000
+WORD_CACHE, PAIR_CACHE = 150_000, 200_000
 NEVER = 1 << 30
 #: Texts are encoded together until they have about as many bytes.
 PART_BYTES = 2 << 20
