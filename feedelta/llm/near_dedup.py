@@ -50,7 +50,7 @@ COUNTERS, SLICES = 1 << 20, 64
 #: Most classes of a region; beyond, prefixes are taken longer, and the classes are also compared by their rare shingles.
 REGION = 1024
 #: Signature agreement from which a pair is confirmed: 0.75 less 5.2 standard deviations of the estimate, which a pair at the
-#: threshold misses with chance 2e-7.
+#: threshold misses with chance 5e-7.
 LIKELY = 0.55
 PERCENT = 75
 #: Shingles of a region up to which a table of all of them is made.
