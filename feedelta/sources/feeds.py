@@ -1,4 +1,4 @@
-"""Finding the tables of a feed: a directory, a zip archive or an HTTP(S) folder."""
+"""Finding the tables of a feed: a directory, a zip archive, or an HTTP(S) folder or zip archive."""
 
 from __future__ import annotations
 
@@ -34,6 +34,10 @@ def is_url(path) -> bool:
     return str(path).lower().startswith(("http://", "https://"))
 
 
+def is_archive_url(path) -> bool:
+    return is_url(path) and urllib.parse.urlsplit(str(path)).path.lower().endswith(".zip")
+
+
 def join_url(folder: str, name: str) -> str:
     return f"{folder.rstrip('/')}/{urllib.parse.quote(name)}"
 
@@ -111,7 +115,9 @@ def open_feed(path, files: list[str] | None = None, staging: str | None = None):
     path = str(path)
     held = tempfile.mkdtemp(prefix="feed-", dir=staging)
     try:
-        if is_url(path):
+        if is_archive_url(path):
+            found = _from_zip(_archive(path, held), files, held)
+        elif is_url(path):
             found = _from_url(path, files, held)
         elif os.path.isdir(path):
             found = {n: os.path.join(path, n) for n in sorted(os.listdir(path)) if n.endswith(".txt") and os.path.isfile(os.path.join(path, n))}
@@ -119,7 +125,8 @@ def open_feed(path, files: list[str] | None = None, staging: str | None = None):
             found = _from_zip(path, files, held)
         else:
             raise ValueError(f"{path!r} is neither a folder, a zip archive nor an http(s) folder")
-        if files is not None and not (is_url(path) and not files):
+        all_of_folder = is_url(path) and not is_archive_url(path) and not files
+        if files is not None and not all_of_folder:
             found = {n: p for n, p in found.items() if n in set(files)}
         yield {n: FeedFile(n, os.path.abspath(p), read_header(p), os.path.getsize(p)) for n, p in sorted(found.items())}
     finally:
@@ -133,6 +140,14 @@ def _from_url(folder: str, files: list[str] | None, held: str) -> dict[str, str]
         return {n: path for n, path in zip(names, got, strict=True) if path}
 
 
+def _archive(url: str, held: str) -> str:
+    """The archive that a URL names, staged; its name cannot be that of a member, since members end in .txt."""
+    path = download(url, os.path.join(held, "feed.zip"))
+    if path is None or not zipfile.is_zipfile(path):
+        raise ValueError(f"{url!r} is no zip archive")
+    return path
+
+
 def _from_zip(path: str, files: list[str] | None, held: str) -> dict[str, str]:
     """Members at any depth, keyed by base name; of equal base names the last member counts."""
     out = {}

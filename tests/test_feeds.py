@@ -1,4 +1,5 @@
 import http.server
+import io
 import json
 import os
 import threading
@@ -157,7 +158,10 @@ def test_zip_members_at_any_depth(spark, tmp_path):
 
 @pytest.fixture
 def server():
-    served = {"/feed/stops.txt": STOPS.encode(), "/feed/levels.txt": b"level_id\nL1\n"}
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("inner/stops.txt", STOPS)
+    served = {"/feed/stops.txt": STOPS.encode(), "/feed/levels.txt": b"level_id\nL1\n", "/feed/all.zip?v=2": packed.getvalue(), "/feed/text.zip": b"no archive"}
 
     class Handler(http.server.BaseHTTPRequestHandler):
         def do_HEAD(self):
@@ -190,6 +194,17 @@ def test_http_folder(spark, tmp_path, server):
     assert doc["file_diffs"] == []
 
 
+def test_archive_at_a_url(spark, tmp_path, server):
+    n = folder(tmp_path, "n", {"stops.txt": STOPS + "S9,Nine,9\n"})
+    d = only(diff_feeds(spark, f"{server}/all.zip?v=2", n))
+    assert d["file_name"] == "stops.txt" and d["stats"]["rows_added_count"] == 1
+    with feeds.open_feed(f"{server}/all.zip?v=2", files=[], staging=str(tmp_path)) as found:
+        assert found == {}
+    for url in (f"{server}/text.zip", f"{server}/none.zip"):
+        with pytest.raises(ValueError):
+            diff_feeds(spark, url, n)
+
+
 def test_cli(spark, tmp_path, capsys):
     b, n = folder(tmp_path, "b", {"stops.txt": STOPS}), folder(tmp_path, "n", {"stops.txt": STOPS + "S9,Nine,9\n"})
     out = tmp_path / "o.json"
