@@ -11,8 +11,9 @@ Targets: shares by weight of all words (weights 1, 2, 3, repeating over the sour
 most REPEATS times a source's size, the excess shared again by weight until none is above.
 
 Scale: sources are summed once (a row for each source reaches the driver, at most SOURCES); running counts are offsets of
-hash ranges within a source plus a window inside each range, so a source with a third of all rows is spread over 4096
-ranges.
+hash ranges within a source plus a window inside each range. A source has 4096 ranges, and sixteen times as many whenever a
+source with all rows would have more than RANGE_ROWS in one, so the largest task doesn't grow with the table. Window and
+offsets share one partitioning: texts are dealt once to be numbered and once to be sorted.
 
 Defined results: null and empty texts have size 0, take nothing and are not repeated; a source without words has target 0;
 documents with equal ids follow each other by size and text hash; null ids are ordered by the hash of the text; extra columns
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from feedelta.llm.common import cut, without, word_count
 
 REPEATS = 3
-#: Hash ranges of a source: the first hexadecimal digits of the MD5 of the id.
-DIGITS = 3
+#: Hash ranges of a source: the first hexadecimal digits of the MD5 of the id, at least so many, and more beyond so many rows a range.
+DIGITS, RANGE_ROWS = 3, 20_000
 #: Sources that a mix may have, and up to which their shares are broadcast (about 50 bytes each).
 SOURCES, BROADCAST_SOURCES = 1_000_000, 100_000
 #: Curriculum: later sources (by code point) come more and more to the end. Slopes by turn, each within -1..1.
@@ -78,29 +79,37 @@ def when(share: Column, slope: Column) -> Column:
     return F.when((slope == 0) | (share == 0), share).otherwise(2 * share / (b + root))
 
 
+def digits(rows: int) -> int:
+    """How many digits make the hash ranges. Ranges only say where rows are numbered: no result depends on them."""
+    n = DIGITS
+    while rows > RANGE_ROWS * 16**n:
+        n += 1
+    return n
+
+
 def plan(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, part, position (of the first copy), and the columns `keep`."""
-    key, src, size = F.col(f"`{id_col}`"), F.col(f"`{source}`").cast("string"), word_count(F.col(f"`{text}`"))
+    key, src, size = F.col(f"`{id_col}`"), F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`").cast("string")), F.lit("-")), word_count(F.col(f"`{text}`"))
     order = F.md5(F.coalesce(key.cast("string"), F.concat(F.lit("null"), F.xxhash64(F.col(f"`{text}`")).cast("string"))))
     sized = df.select(key.cast("bigint").alias("doc_id"), src.alias("src"), size.alias("size"), order.alias("h"), F.xxhash64(F.col(f"`{text}`")).alias("x"), *(F.col(f"`{c}`") for c in keep or []))
-    sized = sized.withColumn("bucket", F.substring("h", 1, DIGITS))
     if not keep:
         sized = cut(sized, "sizes")  # words are counted once
+    sized = sized.withColumn("bucket", F.substring("h", 1, digits((df if keep else sized).count())))
     sums = cut(sized.groupBy("src", "bucket").agg(F.sum("size").alias("n")), "sums")
-    per_source = {r["src"]: r["n"] for r in sums.groupBy("src").agg(F.sum("n").alias("n")).limit(SOURCES + 1).collect()}
+    named = lambda src: None if src == "-" else src[1:]
+    per_source = {named(r["src"]): r["n"] for r in sums.groupBy("src").agg(F.sum("n").alias("n")).limit(SOURCES + 1).collect()}
     if len(per_source) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources to mix")
     shares = df.sparkSession.createDataFrame(
-        [(s.source, s.size, s.target, s.slope) for s in targets(per_source)], "s_src string, source_size bigint, target double, slope double"
+        [("-" if s.source is None else f"s{s.source}", s.size, s.target, s.slope) for s in targets(per_source)], "src string, source_size bigint, target double, slope double"
     )
     if len(per_source) <= BROADCAST_SOURCES:
         shares = F.broadcast(shares)
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.select(F.col("src").alias("o_src"), F.col("bucket").alias("o_bucket"), before.alias("offset"))
+    offsets = sums.select("src", "bucket", before.alias("offset"))
     w = Window.partitionBy("src", "bucket").orderBy("h", "size", "x").rowsBetween(Window.unboundedPreceding, -1)
     rows = sized.withColumn("within", F.coalesce(F.sum("size").over(w), F.lit(0)))
-    rows = rows.join(offsets, same("src", "o_src") & (F.col("bucket") == F.col("o_bucket"))).join(shares, same("src", "s_src"))
+    rows = rows.join(offsets, ["src", "bucket"]).join(shares, "src")
     rows = rows.withColumn("start", F.col("offset") + F.col("within"))
     # Whole words of the target; whole readings of the source; words of the last reading.
     words = F.floor("target").cast("bigint")

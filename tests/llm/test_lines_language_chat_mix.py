@@ -220,6 +220,20 @@ def test_mix(docs, no_docs, spark):
     assert mixing.mix(docs).columns == [*docs.columns, "position"]
 
 
+def test_ranges_change_no_result(docs, spark, monkeypatch):
+    assert [mixing.digits(n) for n in (0, 16**3 * mixing.RANGE_ROWS, 16**3 * mixing.RANGE_ROWS + 1, 10**11)] == [3, 3, 4, 6]
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    other = docs.select("doc_id", "text", F.concat(F.lit("-"), "source").alias("source")).unionAll(docs.select("doc_id", "text", F.lit("-")))
+
+    def rows() -> list:
+        return [sorted(map(repr, mixing.plan(x).collect())) for x in (d, docs, other)] + [mixing.mix(d).collect()]
+
+    few = rows()
+    monkeypatch.setattr(mixing, "DIGITS", 1)
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 1)
+    assert rows() == few
+
+
 def test_schedule_inverts(spark):
     for s in (-1.0, -0.5, 0.0, 0.5, 1.0):
         for r in spark.range(11).select((F.col("id") / 10).alias("t")).select("t", mixing.when(mixing.due(F.col("t"), F.lit(s)), F.lit(s)).alias("b")).collect():
